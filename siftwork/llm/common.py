@@ -51,6 +51,18 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """left joined to right, which has one row for each value of on, where a value may hold a third of left's rows.
+
+    left's rows of a value are dealt by a hash of their column by, and right's rows are repeated for each salt. As right is
+    then shuffled by itself, adaptive execution can also split what is still large.
+    """
+    (salt,) = fresh(left, "salt")
+    l = left.withColumn(salt, F.pmod(F.xxhash64(quoted(by)), F.lit(salts)).cast("int"))
+    r = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return l.join(r, [on, salt], how).drop(salt)
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null: empty."""
     import pyarrow as pa

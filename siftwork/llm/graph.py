@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir, spread_join
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of a link; component is the least node reachable. Nulls and loops are ignored.
 
     Alternating large-star and small-star rounds: each is a minimum per node (summed before the shuffle) joined back to the
-    links on the node, where adaptive execution splits a node with very many links, as the other side has one row a node.
+    links on the node; a node with very many links is spread over several tasks.
     Each round is checkpointed in the shared folder and its links, one row each, don't grow in number. An empty table gives none.
     """
-    from .common import shared_dir
-
     shared_dir(links.sparkSession)
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
@@ -25,10 +25,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # large star: neighbours above a node move to the node's least neighbour
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its lower neighbours move to the least of them
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        moved = spread_join(e, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         state = e.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen and state[0] == state[1]:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, ngram_hashes, quoted, saved, text_bytes, word_hashes
+from .common import fresh, mix, ngram_hashes, quoted, saved, spread_join, text_bytes, word_hashes
 from .graph import connected_components
 
 _IDF_BITS = 16
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = all_rows.where("key is not null").groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
     each = own.select("key", "size", "slots", F.explode("bands").alias("b"))
     several = each.groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1").drop("n")
-    members = saved(each.join(several, "b"), "buckets")
+    members = saved(spread_join(each, several, "b", "key"), "buckets")
     info = members.select("key", "size", "slots")
 
     def agree(pairs: DataFrame) -> DataFrame:
@@ -185,14 +185,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each text against the least text among all its buckets
     lows = members.groupBy("key").agg(F.min("low").alias("low"), F.first("size").alias("a_size"), F.first("slots").alias("a_slots")).where("key <> low")
     facts = info.dropDuplicates(["key"]).select(F.col("key").alias("low"), F.col("size").alias("b_size"), F.col("slots").alias("b_slots"))
-    tested = saved(agree(lows.join(facts, "low").select(F.col("key").alias("a"), "a_size", "a_slots", F.col("low").alias("b"), "b_size", "b_slots")), "tested")
+    tested = saved(agree(spread_join(lows, facts, "low", "key").select(F.col("key").alias("a"), "a_size", "a_slots", F.col("low").alias("b"), "b_size", "b_slots")), "tested")
     links = verified(tested)
     for turn in range(5):
         comps = saved(connected_components(links), "classes")
-        placed = members.drop("low").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+        placed = spread_join(members.drop("low"), comps.withColumnRenamed("node", "key"), "key", "b", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
         per = placed.groupBy("b", "c").agg(F.count("*").alias("n"))
         mixed = per.groupBy("b").agg(F.sum("n").alias("all"), F.count("*").alias("classes"), F.max(F.struct("n", "c")).alias("top")).where("classes > 1")
-        open_ = saved(placed.join(mixed.select("b", F.col("top.c").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("left")), "b"), "open")
+        open_ = saved(spread_join(placed, mixed.select("b", F.col("top.c").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("left")), "b", "key"), "open")
         # how many pairs a listing would look at: each member outside the largest class against all of its bucket
         n = open_.count()
         if not n:
@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             draw = F.struct(F.xxhash64(F.lit(turn), "key").alias("x"), F.col("key").alias("b"), F.col("size").alias("b_size"), F.col("slots").alias("b_slots"), F.col("c").alias("b_c"))
             other = open_.groupBy(F.col("b").alias("bucket")).agg(F.min(draw).alias("d")).select("bucket", "d.b", "d.b_size", "d.b_slots", "d.b_c")
-        more = saved(agree(small.join(other, "bucket").where("a_c <> b_c")).join(tested, ["a", "b"], "left_anti"), "tested")
+        met = small.join(other, "bucket") if listing else spread_join(small, other, "bucket", "a")
+        more = saved(agree(met.where("a_c <> b_c")).join(tested, ["a", "b"], "left_anti"), "tested")
         links = links.unionByName(verified(more))
         if listing:
             break
@@ -220,9 +221,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A row whose text has no words is a class of its own, with its own id. Rows that share the least id are all kept here.
     """
     members, classes = near_duplicates(docs, id_col, text_col, **options)
-    named = members.join(classes, "key", "left").withColumn("class_key", F.coalesce("class_key", "key"))
+    named = spread_join(members, classes, "key", "id", "left").withColumn("class_key", F.coalesce("class_key", "key"))
     each = named.where("key is not null").groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    out = named.join(each, "class_key", "left")
+    out = spread_join(named, each, "class_key", "id", "left")
     alone = F.col("key").isNull()
     out = out.select("id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
@@ -231,12 +232,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each class: that with the least id, or one of its equals. Rows without words all stay."""
     members, classes = near_duplicates(docs, id_col, text_col, **options)
-    named = members.where("key is not null").join(classes, "key", "left").withColumn("class_key", F.coalesce("class_key", "key"))
+    named = spread_join(members.where("key is not null"), classes, "key", "id", "left").withColumn("class_key", F.coalesce("class_key", "key"))
     least = named.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
-    key, class_key, class_id, k2 = fresh(docs, "near_key", "near_class", "near_id", "near_key2")
-    hit = named.select("key", "class_key").distinct().join(least, "class_key").select(F.col("key").alias(k2), F.col("class_key").alias(class_key), F.col("class_id").alias(class_id))
+    key, class_key, class_id, k2 = fresh(docs, "near_key", "near_class", "near_id", "near_hit")
+    hit = named.select("key", "class_key").distinct().join(least, "class_key").select(F.col("key").alias(key), F.lit(True).alias(k2), F.col("class_key").alias(class_key), F.col("class_id").alias(class_id))
     keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(quoted(text_col).cast("string"), F.lit("")))))
-    joined = keyed.join(hit, F.col(key) == F.col(k2), "left")
+    joined = spread_join(keyed, hit, key, id_col, "left")
     first = joined.where(F.col(k2).isNotNull() & quoted(id_col).eqNullSafe(F.col(class_id))).dropDuplicates([class_key])
     return joined.where(F.col(k2).isNull()).unionByName(first).select(*[quoted(c) for c in docs.columns])
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, saved
+from .common import quoted, saved, spread_join
 from .graph import connected_components
 
 
@@ -187,8 +187,8 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     whole = own.select("key", "n", "least_id").join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     whole = saved(whole, "groups")
     least_ids = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    info = whole.join(least_ids, "component").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id")
-    out = rows.select("id", "key").join(info, "key", "left")
+    info = spread_join(whole, least_ids, "component", "key").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id")
+    out = spread_join(rows.select("id", "key"), info, "key", "id", "left")
     cid = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

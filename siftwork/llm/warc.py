@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, quoted, saved
+from .common import new_path, quoted, saved, spread_join
 
 RECORDS = "record_id string, warc_type string, target_uri string, page string, refers_to_page string, payload_digest string, segment_number long, segment_origin string, segment_total long, block binary"
 ASSEMBLED = "record_id string, warc_type string, target_uri string, page string, refers_to_page string, payload_digest string, n_segments long, block_bytes long, http_head string, payload binary, status string"
@@ -93,7 +93,8 @@ def write_archives(pages: DataFrame, path: str, page_col: str = "page_id", uri_c
     src = pages.select(quoted(page_col).alias("page"), quoted(uri_col).cast("string").alias("uri"), F.coalesce(quoted(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     src = src.withColumns({"digest": base32_sha1(F.col("payload")), "n": F.length("payload")})
     same = src.where(F.col("n") >= least_revisit_bytes).groupBy("digest", "n").agg(F.min("page").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = src.join(same, ["digest", "n"], "left").withColumn("revisit", F.coalesce(F.col("least").isNotNull() & ~F.col("page").eqNullSafe(F.col("least")), F.lit(False)))
+    same = same.select(F.concat_ws(":", "digest", "n").alias("same"), "least")
+    rows = spread_join(src.withColumn("same", F.concat_ws(":", "digest", "n")), same, "same", "page", "left").withColumn("revisit", F.coalesce(F.col("least").isNotNull() & ~F.col("page").eqNullSafe(F.col("least")), F.lit(False)))
     rows = rows.select("page", "uri", "payload", "digest", "least", "revisit")
 
     def made(batches):
@@ -226,7 +227,7 @@ def page_digests(records: DataFrame) -> DataFrame:
     """Per reassembled record: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, status.
 
     A revisit has the payload of the response with the same digest; it is looked up on that digest, of which the responses
-    have one row, so that adaptive execution can split a digest that a third of the records share. A revisit whose response
+    have one row; a digest that a third of the records share is spread over several tasks. A revisit whose response
     isn't there has status missing_response.
     """
     own = base32_sha1(F.col("payload"))
@@ -234,7 +235,7 @@ def page_digests(records: DataFrame) -> DataFrame:
     slim = saved(records.select("page", "refers_to_page", "warc_type", "target_uri", "status", F.when(F.col("warc_type") == "response", F.length("payload")).cast("long").alias("bytes"), F.when(F.col("warc_type") == "response", own).otherwise(F.col("payload_digest")).alias("digest")), "warc")
     seen = slim.where("warc_type = 'response' and digest is not null").groupBy("digest").agg(F.max("bytes").alias("payload_bytes"))
     first = slim.where("warc_type <> 'revisit'").withColumn("payload_bytes", F.col("bytes"))
-    again = slim.where("warc_type = 'revisit'").join(seen, "digest", "left").withColumn("status", F.when(F.col("payload_bytes").isNull(), "missing_response").otherwise(F.col("status")))
+    again = slim.where("warc_type = 'revisit'").transform(lambda d: spread_join(d, seen, "digest", "page", "left")).withColumn("status", F.when(F.col("payload_bytes").isNull(), "missing_response").otherwise(F.col("status")))
     cols = [F.expr("try_cast(page as bigint)").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("warc_type").alias("record_type"), F.expr("try_cast(refers_to_page as bigint)").alias("refers_to"), "target_uri", "status"]
     return first.select(*cols).unionByName(again.select(*cols))
 
