@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, quoted
+from .common import SPACES, fresh, quoted, saved, spread_join
 
 _SHARD = 1 << 16  # bytes of a filter that travel and are merged together
 _FAN = 64
@@ -120,11 +120,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(out, pa.binary())], ["id", "key"])
 
     found = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t")).mapInArrow(suspects, f"id {id_type}, key binary")
-    from .common import saved
-
     found = saved(found.distinct(), "suspects")
     sure = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs)
-    drops = found.join(sure, "key").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias("drop_id")).agg(F.collect_list("key").alias(list_col))
+    drops = spread_join(found, sure, "key", "id").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias("drop_id")).agg(F.collect_list("key").alias(list_col))
 
     @F.pandas_udf("n long, dropped long, kept string")
     def cut(texts, keys):
