@@ -63,6 +63,22 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str =
     return l.join(r, [on, salt], how).drop(salt)
 
 
+def merged_by_steps(parts: DataFrame, combine, fan: int = 64) -> DataFrame:
+    """Rows (shard int, pid int, data binary) merged to one for each shard.
+
+    combine joins a list of data. Tasks number below 2^18: groups of fan tasks are merged, then groups of fan of those, then
+    all that are left, so no merge holds more than fan parts of a shard.
+    """
+    import pandas as pd
+
+    def merge(pdf):
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "pid": [int(pdf["pid"].iloc[0]) // fan], "data": [combine(list(pdf["data"]))]})
+
+    for _ in range(3):
+        parts = parts.groupBy("shard", F.expr(f"pid div {int(fan)}")).applyInPandas(merge, "shard int, pid int, data binary")
+    return parts.select("shard", "data")
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null: empty."""
     import pyarrow as pa

@@ -8,10 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, quoted, saved, spread_join
+from .common import SPACES, fresh, merged_by_steps, quoted, saved, spread_join
 
 _SHARD = 1 << 16  # bytes of a filter that travel and are merged together
-_FAN = 64
 
 
 def line_keys(text: str | None, least_chars: int) -> list[bytes | None]:
@@ -32,11 +31,18 @@ def _as_rows(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
 
 
+def _packed(once: np.ndarray, twice: np.ndarray) -> bytes:
+    return zlib.compress(once.tobytes() + twice.tobytes(), 1)
+
+
+def _pair(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1)
+
+
 def _merged(pairs) -> tuple[np.ndarray, np.ndarray]:
     """The once-seen and twice-seen bits of a union: what two parts have both seen once has been seen twice."""
     once = twice = None
-    for a, b in pairs:
-        o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+    for o, t in pairs:
         once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
     return once, twice
 
@@ -47,7 +53,6 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
     Each task fills a once-seen and a twice-seen filter; their shards are merged in two steps of bounded groups. A key that
     occurs twice anywhere is always in it; others get in by chance, the more the fuller the filter is.
     """
-    import pandas as pd
     import pyarrow as pa
 
     size = bits // 8
@@ -70,20 +75,17 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
                 once[at] = True
         o, t = (np.packbits(x).reshape(n_shards, -1) for x in (once, twice))
         has = np.flatnonzero(o.any(1))
-        pid = TaskContext.get().partitionId() % 65536
-        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([pid] * len(has), pa.int32()), pa.array([zlib.compress(o[i].tobytes(), 1) for i in has], pa.binary()), pa.array([zlib.compress(t[i].tobytes(), 1) for i in has], pa.binary())], ["shard", "pid", "once", "twice"])
+        pid = TaskContext.get().partitionId() % (1 << 18)
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([pid] * len(has), pa.int32()), pa.array([_packed(o[i], t[i]) for i in has], pa.binary())], ["shard", "pid", "data"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        o, t = _merged(zip(pdf["once"], pdf["twice"], strict=True))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "pid": pdf["pid"].iloc[:1] // _FAN, "once": [zlib.compress(o.tobytes(), 1)], "twice": [zlib.compress(t.tobytes(), 1)]})
+    def merge(parts):
+        o, t = _merged(_pair(x) for x in parts)
+        return _packed(o, t)
 
-    kind = "shard int, pid int, once binary, twice binary"
-    parts = docs.select(quoted(text_col).cast("string").alias("t")).mapInArrow(filled, kind)
-    for _ in range(3):  # groups of _FAN tasks, then of _FAN of those, at last all that are left: 65536 // 64 // 64 = 16
-        parts = parts.groupBy("shard", F.expr(f"pid div {_FAN}")).applyInPandas(merge, kind)
+    parts = docs.select(quoted(text_col).cast("string").alias("t")).mapInArrow(filled, "shard int, pid int, data binary")
     out = np.zeros((n_shards, size // n_shards), np.uint8)
-    for r in parts.select("shard", "twice").toLocalIterator():
-        out[r["shard"]] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
+    for r in merged_by_steps(parts, merge).toLocalIterator():
+        out[r["shard"]] = _pair(bytes(r["data"]))[1]
     return out.reshape(-1)
 
 

@@ -2,56 +2,61 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, ngram_hashes, quoted, saved, spread_join, text_bytes, word_hashes
+from .common import fresh, merged_by_steps, mix, ngram_hashes, quoted, saved, spread_join, text_bytes, word_hashes
 from .graph import connected_components
 
-_IDF_BITS = 16
+_IDF_BITS = 20
+_SHARDS = 32
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
-    """inverse document frequency of each of 2^16 hashed words, from all documents: ln(1 + N / df), df at least N / 100.
+def shingle_idf(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """The inverse document frequency of each of 2^20 hashed shingles, from all documents: ln(1 + N / df), df at least N / 500.
 
-    A bucket's count is that of the texts with a word in it. Words that few texts have share buckets, but as all of them are
-    below the floor, they weigh the same at any size of corpus; common words stand out of their bucket.
+    A counter has the texts with a shingle in it. Shingles that few texts have share counters, N / 2,000 texts for a counter
+    at 500 shingles a text; as that is below the floor at any size of corpus, they all weigh the same, and those that many
+    texts have stand out. Each task sends its counters in compressed shards, which are summed in steps of bounded groups.
     """
     import pyarrow as pa
 
     def counted(batches):
-        df, n = np.zeros(1 << _IDF_BITS, np.int64), 0
+        from pyspark import TaskContext
+
+        df, n = np.zeros(1 << _IDF_BITS, "<i8"), 0
         for batch in batches:
             for t in text_bytes(batch.column(0)):
-                df[np.unique(word_hashes(t)[0] >> np.uint64(64 - _IDF_BITS)).astype(np.int64)] += 1
+                df[np.unique(ngram_hashes(word_hashes(t)[0], shingle) >> np.uint64(64 - _IDF_BITS)).astype(np.int64)] += 1
                 n += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*df[at].tolist(), n], pa.int64())], ["bucket", "n"])
-
-    df, n = np.zeros(1 << _IDF_BITS), 0
-    for r in docs.select(quoted(text_col).cast("string")).mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        if r["bucket"] < 0:
-            n = r["n"]
+        pid = TaskContext.get().partitionId() % (1 << 18)
+        data = [*(zlib.compress(x.tobytes(), 1) for x in df.reshape(_SHARDS, -1)), zlib.compress(np.array([n], "<i8").tobytes())]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SHARDS + 1), pa.int32()), pa.array([pid] * (_SHARDS + 1), pa.int32()), pa.array(data, pa.binary())], ["shard", "pid", "data"])
+
+    def added(parts):
+        return zlib.compress(sum(np.frombuffer(zlib.decompress(x), "<i8") for x in parts).tobytes(), 1)
+
+    parts = docs.select(quoted(text_col).cast("string")).mapInArrow(counted, "shard int, pid int, data binary")
+    df, n = np.zeros((_SHARDS, (1 << _IDF_BITS) // _SHARDS)), 0
+    for r in merged_by_steps(parts, added).toLocalIterator():
+        got = np.frombuffer(zlib.decompress(bytes(r["data"])), "<i8")
+        if r["shard"] == _SHARDS:
+            n = int(got[0])
         else:
-            df[r["bucket"]] = r["n"]
-    return np.log1p(n / np.maximum(df, max(n, 1) / 100)).astype(np.float32)
+            df[r["shard"]] = got
+    return np.log1p(n / np.maximum(df.reshape(-1), max(n, 1) / 500)).astype(np.float32)
 
 
 def weighted_shingles(text: bytes, idf: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(sorted 64-bit hashes, weights) of a whole text's windows of n words; a shorter text with words is one window.
 
-    A weight is the window's count times the mean inverse document frequency of its words.
+    A weight is the window's count in the text times its inverse document frequency.
     """
-    words = word_hashes(text)[0]
-    if not len(words):
-        return words, np.zeros(0, np.float32)
-    n = min(n, len(words))
-    w = idf[(words >> np.uint64(64 - _IDF_BITS)).astype(np.int64)].astype(np.float64)
-    own, first, times = np.unique(ngram_hashes(words, n), return_index=True, return_counts=True)
-    # each window summed by itself, so that equal windows weigh the same wherever they stand
-    mean = sum(w[first + i] for i in range(n)) / n
-    return own, (times * mean).astype(np.float32)
+    own, times = np.unique(ngram_hashes(word_hashes(text)[0], n), return_counts=True)
+    return own, times.astype(np.float32) * idf[(own >> np.uint64(64 - _IDF_BITS)).astype(np.int64)]
 
 
 class ConsistentSampler:
@@ -97,24 +102,25 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, bands: int = 16, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, bands: int = 18, rows: int = 5, list_up_to: int = 24) -> tuple[DataFrame, DataFrame]:
     """(members, classes): members has (id, key) of each row, key identifying its text; classes (key, class_key) of the texts that are alike with another.
 
     Two texts link if the weighted Jaccard similarity of their TF-IDF shingles is least at least and they agree in a band of
-    rows samples (at 0.8 all of 16 bands of 4 miss a pair once in 4,000; sets of more than two usually link another way).
+    rows samples (at 0.8 all of 18 bands of 5 miss a pair once in 1,300, at 0.9 once in 3 million; sets of more than two usually link another way).
     A class is a component of links. Equal texts share a key and are compared as one. Texts without words, null among them,
     have a null key: they are alike with nothing. Other columns aren't read. An empty table gives empty ones.
 
-    No pairs of a bucket are listed: each text is first held against the least text among all its buckets, and classes are
-    formed. Then only pairs of one bucket in different classes matter. Each round holds what isn't in the bucket's largest
-    class against one other member, drawn anew. When few pairs are left, those are listed, from the smaller classes against
-    the rest, so no link found by the bands is lost. Candidates must agree in 28 of 64 samples before texts are fetched
-    (linked ones fail that once in 10^9). A bucket that a third of all texts share is only ever joined to one row a bucket.
+    Each text is first held against the least text among all its buckets, and classes are formed. Then only pairs of one bucket
+    in different classes matter: those of buckets of list_up_to texts at most are listed, each once; larger buckets are worked
+    on in tiles of bounded size, within which pairs are compared in memory and only links leave. So no link found by the bands
+    is lost, and no pairs of a large group are listed. Before texts are compared, two texts must agree in as many samples as
+    four standard deviations below the mean (linked ones fail that once in 30,000). A text that many documents hold is one.
     """
+    import pandas as pd
     import pyarrow as pa
 
     spark = docs.sparkSession
-    idf = spark.sparkContext.broadcast(document_frequencies(docs, text_col))
+    idf = spark.sparkContext.broadcast(shingle_idf(docs, text_col, shingle))
     k = bands * rows
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -140,77 +146,123 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(quoted(id_col).alias("id"), F.unhex(F.md5(F.coalesce(quoted(text_col).cast("string"), F.lit("")))).alias("key"), quoted(text_col).cast("string").alias("t"))
     all_rows = saved(texts.mapInArrow(sketched, f"id {kind}, key binary, size double, bands array<long>, slots binary"), "sketches")
     own = all_rows.where("key is not null").groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
-    each = own.select("key", "size", "slots", F.explode("bands").alias("b"))
+    own = saved(own, "texts")
+    each = own.select("key", F.explode("bands").alias("b"))
     several = each.groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1").drop("n")
-    members = saved(spread_join(each, several, "b", "key"), "buckets")
-    info = members.select("key", "size", "slots")
+    members = saved(spread_join(each, several, "b", "key", salts=1), "buckets")
+    facts = saved(own.select("key", "size", "slots").join(members.select("key").distinct(), "key", "left_semi"), "facts")
+    least_agree = int(least * k - 4 * (k * least * (1 - least)) ** 0.5)
 
     def agree(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with sizes and slots that may be linked; each once."""
+        """Pairs (a, b) that may be linked by their sizes and samples; each once."""
         def kept(batches):
             for batch in batches:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, k) for c in ("a_slots", "b_slots"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(1) * 64 >= 28 * k))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(1) >= least_agree))
 
-        fits = pairs.where(F.least("a_size", "b_size") >= (least - 1e-6) * F.greatest("a_size", "b_size")).select("a", "a_slots", "b", "b_slots")
-        out = fits.mapInArrow(kept, "a binary, b binary")
-        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = once.join(facts.select(F.col("key").alias("a"), F.col("size").alias("a_size"), F.col("slots").alias("a_slots")), "a").join(facts.select(F.col("key").alias("b"), F.col("size").alias("b_size"), F.col("slots").alias("b_slots")), "b")
+        fits = met.where(F.least("a_size", "b_size") >= (least - 1e-6) * F.greatest("a_size", "b_size")).select("a", "a_slots", "b", "b_slots")
+        return fits.mapInArrow(kept, "a binary, b binary")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs whose texts are alike. Texts come by key: against a set of keys of known size or, beyond it, by a shuffle."""
-        pairs = saved(pairs, "pairs")
-        keys = saved(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
+    def fetched(keys: DataFrame) -> DataFrame:
+        """(key, t): one text for each key. The keys filter the documents as a set of known size or, beyond that, by a shuffle."""
+        keys = saved(keys, "keys")
         few = F.broadcast(keys) if keys.count() <= 500_000 else keys
-        need = saved(texts.select("key", "t").join(few, "key", "left_semi").dropDuplicates(["key"]), "texts")
-        both = pairs.join(need.select(F.col("key").alias("a"), F.col("t").alias("a_text")), "a").join(need.select(F.col("key").alias("b"), F.col("t").alias("b_text")), "b")
-
-        def alike(batches):
-            last: dict[bytes, tuple] = {}
-
-            def vector(key, column, i):
-                if key not in last:
-                    if len(last) >= 16:
-                        last.pop(next(iter(last)))
-                    last[key] = weighted_shingles((column[i].as_py() or "").encode(), idf.value, shingle)
-                return last[key]
+        return saved(texts.select("key", "t").join(few, "key", "left_semi").dropDuplicates(["key"]), "fetched")
 
-            for batch in batches:
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                ta, tb = batch.column("a_text"), batch.column("b_text")
-                yes = [similarity(vector(a[i], ta, i), vector(b[i], tb, i)) >= least - 1e-6 for i in range(len(a))]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
-        return saved(both.select("a", "a_text", "b", "b_text").mapInArrow(alike, "a binary, b binary"), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts are alike. Pairs are dealt to tiles by both keys, so that a text in many pairs travels to few."""
+        pairs = saved(pairs, "pairs")
+        h = int(np.ceil((pairs.count() / 4000) ** 0.5)) or 1
+        tile = (F.pmod(F.xxhash64("a"), F.lit(h)) * h + F.pmod(F.xxhash64("b"), F.lit(h))).cast("int").alias("tile")
+        dealt = pairs.select("a", "b", tile)
+        need = dealt.select("tile", F.col("a").alias("key")).unionByName(dealt.select("tile", F.col("b").alias("key"))).distinct()
+        sent = saved(need.join(fetched(need.select("key").distinct()), "key"), "sent")  # saved: its columns are then its own
+
+        def alike(pdf, sent):
+            t = dict(zip(sent["key"], sent["t"], strict=True))
+            own: dict = {}
+
+            def vector(key):
+                if key not in own:
+                    own[key] = weighted_shingles((t[key] or "").encode(), idf.value, shingle)
+                return own[key]
+
+            yes = [similarity(vector(x), vector(y)) >= least - 1e-6 for x, y in zip(pdf["a"], pdf["b"], strict=True)]
+            return pdf[["a", "b"]][np.array(yes, bool)]
+
+        return saved(dealt.groupBy("tile").cogroup(sent.groupBy("tile")).applyInPandas(alike, "a binary, b binary"), "links")
+
+    def tiled(members: DataFrame, side: int = 512) -> DataFrame:
+        """Links between members (b, key, c, top, n, n_small) of large buckets in different classes.
+
+        Those outside a bucket's largest class are held against all of it, in tiles of side rows a side, each with its texts;
+        a pair is held in its first common band only, and only links leave a tile. No task gets more, however large a bucket is.
+        """
+        whole = members.join(fetched(members.select("key").distinct()), "key").join(own.select("key", "size", "bands", "slots"), "key")
+        deal = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30))
+        nb, ns = F.ceil(F.col("n") / side).cast("int"), F.ceil(F.col("n_small") / side).cast("int")
+        cols = ["b", "key", "c", "small", "size", "bands", "slots", "t"]
+        whole = whole.withColumn("small", F.col("c") != F.col("top"))
+        left = whole.where("small").select(*cols, F.lit(0).alias("side"), (deal % ns).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("j"))
+        right = whole.select(*cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), ns - 1)).alias("i"), (deal % nb).cast("int").alias("j")).select(*left.columns)
+
+        def held(pdf):
+            l, r = pdf[pdf["side"] == 0].reset_index(drop=True), pdf[pdf["side"] == 1].reset_index(drop=True)
+            out: list = []
+            if len(l) and len(r):
+                lb, rb = np.stack(l["bands"]), np.stack(r["bands"])
+                ls, rs = (np.frombuffer(b"".join(x["slots"]), "<u2").reshape(-1, k) for x in (l, r))
+                lz, rz = l["size"].to_numpy()[:, None], r["size"].to_numpy()[None, :]
+                keys = {x: i for i, x in enumerate(sorted({*l["key"], *r["key"]}))}
+                lk, rk = np.array([keys[x] for x in l["key"]]), np.array([keys[x] for x in r["key"]])
+                classes = {x: i for i, x in enumerate(sorted({*l["c"], *r["c"]}))}
+                lc, rc = np.array([classes[x] for x in l["c"]]), np.array([classes[x] for x in r["c"]])
+                ok = (lc[:, None] != rc[None, :]) & (np.minimum(lz, rz) >= (least - 1e-6) * np.maximum(lz, rz))
+                ok &= (lk[:, None] < rk[None, :]) | ~r["small"].to_numpy()[None, :]
+                for band in range(int(np.flatnonzero(lb[0] == pdf["b"].iloc[0])[0])):
+                    ok &= lb[:, band][:, None] != rb[:, band][None, :]
+                same = np.zeros(ok.shape, np.uint16)
+                for x in range(k):
+                    same += ls[:, x][:, None] == rs[:, x][None, :]
+                own: dict = {}
+                root = list(range(len(classes)))
+
+                def vector(x, i):
+                    if (key := x["key"][i]) not in own:
+                        own[key] = weighted_shingles((x["t"][i] or "").encode(), idf.value, shingle)
+                    return own[key]
+
+                def find(i):
+                    while root[i] != i:
+                        root[i] = root[root[i]]
+                        i = root[i]
+                    return i
+
+                for i, j in zip(*np.nonzero(ok & (same >= least_agree)), strict=True):
+                    x, y = find(lc[i]), find(rc[j])
+                    if x != y and similarity(vector(l, i), vector(r, j)) >= least - 1e-6:
+                        root[y] = x
+                        out.append((l["key"][i], r["key"][j]))
+            return pd.DataFrame(out, columns=["a", "b"])
+
+        return saved(left.unionByName(right).groupBy("b", "i", "j").applyInPandas(held, "a binary, b binary"), "links")
 
     # each text against the least text among all its buckets
-    lows = members.groupBy("key").agg(F.min("low").alias("low"), F.first("size").alias("a_size"), F.first("slots").alias("a_slots")).where("key <> low")
-    facts = info.dropDuplicates(["key"]).select(F.col("key").alias("low"), F.col("size").alias("b_size"), F.col("slots").alias("b_slots"))
-    tested = saved(agree(spread_join(lows, facts, "low", "key").select(F.col("key").alias("a"), "a_size", "a_slots", F.col("low").alias("b"), "b_size", "b_slots")), "tested")
+    tested = saved(agree(members.groupBy(F.col("key").alias("a")).agg(F.min("low").alias("b")).where("a <> b")), "tested")
     links = verified(tested)
-    for turn in range(5):
-        comps = saved(connected_components(links), "classes")
-        placed = spread_join(members.drop("low"), comps.withColumnRenamed("node", "key"), "key", "b", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-        per = placed.groupBy("b", "c").agg(F.count("*").alias("n"))
-        mixed = per.groupBy("b").agg(F.sum("n").alias("all"), F.count("*").alias("classes"), F.max(F.struct("n", "c")).alias("top")).where("classes > 1")
-        open_ = saved(spread_join(placed, mixed.select("b", F.col("top.c").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("left")), "b", "key"), "open")
-        # how many pairs a listing would look at: each member outside the largest class against all of its bucket
-        n = open_.count()
-        if not n:
-            return all_rows.select("id", "key"), comps.select(F.col("node").alias("key"), F.col("component").alias("class_key"))
-        todo = open_.select("b", "left").distinct().agg(F.sum("left")).first()[0]
-        small = open_.where("c <> top").select(F.col("b").alias("bucket"), F.col("key").alias("a"), F.col("size").alias("a_size"), F.col("slots").alias("a_slots"), F.col("c").alias("a_c"))
-        listing = turn == 4 or todo <= 4 * n + 200_000
-        if listing:
-            other = open_.select(F.col("b").alias("bucket"), F.col("key").alias("b"), F.col("size").alias("b_size"), F.col("slots").alias("b_slots"), F.col("c").alias("b_c"))
-        else:
-            draw = F.struct(F.xxhash64(F.lit(turn), "key").alias("x"), F.col("key").alias("b"), F.col("size").alias("b_size"), F.col("slots").alias("b_slots"), F.col("c").alias("b_c"))
-            other = open_.groupBy(F.col("b").alias("bucket")).agg(F.min(draw).alias("d")).select("bucket", "d.b", "d.b_size", "d.b_slots", "d.b_c")
-        met = small.join(other, "bucket") if listing else spread_join(small, other, "bucket", "a")
-        more = saved(agree(met.where("a_c <> b_c")).join(tested, ["a", "b"], "left_anti"), "tested")
-        links = links.unionByName(verified(more))
-        if listing:
-            break
-        tested = tested.unionByName(more)
+    comps = saved(connected_components(links), "classes")
+    placed = spread_join(members.drop("low"), comps.withColumnRenamed("node", "key"), "key", "b", "left", salts=1).withColumn("c", F.coalesce("component", "key")).drop("component")
+    mixed = placed.groupBy("b", "c").agg(F.count("*").alias("n")).groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "c")).alias("top")).where("classes > 1")
+    open_ = saved(spread_join(placed, mixed.select("b", "n", F.col("top.c").alias("top"), (F.col("n") - F.col("top.n")).alias("n_small")), "b", "key", salts=1), "open")
+    few = open_.where(F.col("n") <= list_up_to)
+    met = few.where("c <> top").select("b", F.col("key").alias("x"), F.col("c").alias("x_c")).join(few.select("b", F.col("key").alias("y"), F.col("c").alias("y_c")), "b").where("x_c <> y_c")
+    more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(agree(more)))
+    many = open_.where(F.col("n") > list_up_to)
+    if not many.isEmpty():
+        links = links.unionByName(tiled(many))
     comps = saved(connected_components(links), "classes")
     return all_rows.select("id", "key"), comps.select(F.col("node").alias("key"), F.col("component").alias("class_key"))
 
