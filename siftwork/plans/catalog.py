@@ -2,5 +2,391 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.jsonx import pretty
+from ..operators import curate as C
+from ..operators import evaluate as E
+from ..operators import views as V
+from ..streaming.feeds import smallest_group
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- documents as records: validation, de-duplication, scoring, quotas
+
+_KEY = "lang, trim(text, ' ')"
+_SCORE = "(case when length(text) >= 500 then 2 else 0 end + case when contains(text, '!') then -1 else 0 end + case when contains(text, '|') then -2 else 0 end + case when contains(text, '#') then -3 else 0 end)::int"
+
+
+def _score(d: DataFrame) -> DataFrame:
+    has = lambda n: F.contains("text", F.lit(n))
+    w = lambda c, n: F.when(c, n).otherwise(0)
+    return d.withColumn("score", (w(F.length("text") >= 500, 2) - w(has("!"), 1) - w(has("|"), 2) - w(has("#"), 3)).cast("int"))
+
+
+def _firsts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(F.trim("text") != "")
+    return C.first_by(docs, [F.col("lang"), F.md5(F.trim("text"))], [F.col("doc_id")]).where("nth = 1").drop("nth")
+
+
+_BASE = f"""d as (select * from documents where trim(text, ' ') <> ''), f as (select * from d qualify row_number() over (partition by {_KEY} order by doc_id) = 1),
+s as (select *, {_SCORE} as score from f), c as (select lang, count(*) as n from s group by lang)"""
+_QUOTA = """t as (select *, least(90, sum(n) over ()) as goal, sum(n) over () as total from c), e as (select *, (goal * n)::double / total as exact from t),
+b as (select *, floor(exact) as base, goal - sum(floor(exact)) over () as spare from e),
+q as (select lang, n, (base + case when row_number() over (order by exact - base desc, lang) <= spare then 1 else 0 end)::bigint as quota from b)"""
+
+
+@query(f"with {_BASE}, {_QUOTA}, r as (select s.*, row_number() over (partition by s.lang order by score desc, n_chars desc, doc_id) as nth from s) select doc_id, r.lang, score, nth::int as nth from r join q using (lang) where nth <= quota")
+def curate_topk_quota(spark, d):
+    """Validate, keep first copies, score, share 90 places among languages, take the best of each."""
+    s = _score(_firsts(spark, d))
+    quotas = C.hamilton_quota(s.groupBy("lang").agg(F.count("*").alias("n")), "lang", 90)
+    return C.top_by_quota(s, "lang", quotas, [F.desc("score"), F.desc("n_chars"), F.col("doc_id")]).where("selected").select("doc_id", "lang", "score", "nth")
+
+
+@query(f"with {_BASE}, {_QUOTA} select * from q")
+def hamilton_quota(spark, d):
+    return C.hamilton_quota(_firsts(spark, d).groupBy("lang").agg(F.count("*").alias("n")), "lang", 90)
+
+
+@query(f"with {_BASE}, {_QUOTA}, r as (select s.*, row_number() over (partition by s.lang order by score desc, n_chars desc, doc_id) as nth from s) select doc_id, r.lang, case when score < 0 then 'low_score' else 'lower_ranked' end as reason from r join q using (lang) where nth > quota")
+def lower_ranked_rejects(spark, d):
+    s = _score(_firsts(spark, d))
+    quotas = C.hamilton_quota(s.groupBy("lang").agg(F.count("*").alias("n")), "lang", 90)
+    out = C.top_by_quota(s, "lang", quotas, [F.desc("score"), F.desc("n_chars"), F.col("doc_id")]).where("not selected")
+    return out.select("doc_id", "lang", F.when(F.col("score") < 0, "low_score").otherwise("lower_ranked").alias("reason"))
+
+
+def _reasons(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    r = C.reasons_array((F.trim("text") == "", "text.blank"), (F.col("n_chars") < 200, "text.short"), (~F.col("lang").isin("en", "de"), "lang.other"), (F.col("quality") == 0, "label.quality"), (F.col("toxic") == 1, "label.toxic"))
+    deny = C.deny_reasons(F.col("text"), (("deny.bar", (" | ",)), ("deny.mark", ("!!", "###"))))
+    return docs.withColumn("reasons", F.concat(r, deny))
+
+
+_REASONS = """r as (select doc_id, lang, list_filter([case when trim(text, ' ') = '' then 'text.blank' end, case when n_chars < 200 then 'text.short' end, case when lang not in ('en', 'de') then 'lang.other' end,
+case when quality = 0 then 'label.quality' end, case when toxic = 1 then 'label.toxic' end, case when contains(text, ' | ') then 'deny.bar' end, case when contains(text, '!!') or contains(text, '###') then 'deny.mark' end], lambda x: x is not null) as reasons
+from documents left join labels using (doc_id))"""
+
+
+@query(f"with {_REASONS} select doc_id, array_to_string(reasons, ',') as reasons from r")
+def validate_reasons(spark, d):
+    return _reasons(spark, d).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"with {_REASONS} select unnest(reasons) as reason, count(*) as n from r group by 1")
+def reject_reason_counts(spark, d):
+    return C.reason_counts(_reasons(spark, d))
+
+
+@query(f"with {_REASONS} select lang as grp, count(*) filter (len(reasons) = 0) as n_kept, count(*) filter (len(reasons) > 0) as n_rejected, count(*) as n_rows, grouping(lang)::int as is_total from r group by rollup(lang)")
+def keep_reject_by_lang(spark, d):
+    return C.keep_counts(_reasons(spark, d), F.col("lang"))
+
+
+@query(f"with {_REASONS} select doc_id from r where len(reasons) = 0")
+def route_kept(spark, d):
+    return C.route(_reasons(spark, d))[0].select("doc_id")
+
+
+@query(f"with {_BASE} select doc_id, lang from f")
+def dedup_first(spark, d):
+    return _firsts(spark, d).select("doc_id", "lang")
+
+
+@query("select lang, md5(text) as key, count(*) as n from documents group by lang, text having count(*) > 1")
+def dup_key_counts(spark, d):
+    docs = table(spark, d, "documents").select("lang", F.md5("text").alias("key"))
+    return C.duplicate_keys(docs, ["lang", "key"])
+
+
+@query("select doc_id, source from documents qualify row_number() over (partition by source order by doc_id) <= 3")
+def keep_first_k_per_source(spark, d):
+    return C.keep_k(table(spark, d, "documents"), ["source"], ["doc_id"], 3).select("doc_id", "source")
+
+
+@query("select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 2")
+def keep_last_k_per_conv(spark, d):
+    return C.keep_k(table(spark, d, "conversations"), ["conv_id"], ["turn"], 2, last=True).select("conv_id", "turn", "role")
+
+
+@query(f"select doc_id, {_SCORE} as score from documents")
+def score_rules(spark, d):
+    return _score(table(spark, d, "documents")).select("doc_id", "score")
+
+
+@query(f"select {_SCORE} as score, count(*) as n from documents group by 1")
+def score_histogram(spark, d):
+    return _score(table(spark, d, "documents")).groupBy("score").agg(F.count("*").alias("n"))
+
+
+# ---- text and JSON functions
+
+_W = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_COLLAPSED = rf"regexp_replace(regexp_replace(text, '{_W}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(rf"with c as (select doc_id, {_COLLAPSED} as t from documents) select doc_id, md5(t) as clean_md5, length(t)::int as clean_chars from c")
+def clean_text(spark, d):
+    t = T.collapse(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("clean_md5"), F.length(t).alias("clean_chars"))
+
+
+@query("select doc_id, md5(replace(replace(text, 'the', 'THE'), 'THE of', 'of')) as rewritten_md5 from documents")
+def phrase_rewrite(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.rewrite(F.col("text"), (("the", "THE"), ("THE of", "of")))).alias("rewritten_md5"))
+
+
+@query("select doc_id, md5('lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || 'text:' || chr(10) || text) as flat_md5 from documents")
+def flatten_labelled(spark, d):
+    c = [F.concat(F.lit(f"{k}: "), F.col(k)) for k in ("lang", "source")]
+    return table(spark, d, "documents").select("doc_id", F.md5(T.flatten(*c, F.concat(F.lit("text:\n"), F.col("text")))).alias("flat_md5"))
+
+
+@query("select event_type, count(json_extract(props, '$.k')) as n, sum(json_extract_string(props, '$.k')::bigint)::bigint as k_sum, max(json_extract_string(props, '$.k')::bigint) as k_max from events group by event_type")
+def json_field_metrics(spark, d):
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
+
+
+@query("""select conv_id, turn, md5('{' || chr(10) || '  "role": "' || role || '",' || chr(10) || '  "turns": [' || chr(10) || '    ' || turn || chr(10) || '  ],' || chr(10) || '  "chars": ' || length(text) || chr(10) || '}') as json_md5 from conversations""")
+def pretty_json(spark, d):
+    s = F.struct("role", F.array("turn").alias("turns"), F.length("text").alias("chars"))
+    df = table(spark, d, "conversations").select("conv_id", "turn", s.alias("s"))
+    return df.select("conv_id", "turn", F.md5(pretty(F.col("s"), df.schema["s"].dataType)).alias("json_md5"))
+
+
+# ---- training views, unions, splits
+
+_PAIRS = """p as (select *, lead(role) over w as next_role, lead(text) over w as output, first_value(case when role = 'system' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) as system
+from conversations window w as (partition by conv_id order by turn)), t as (select conv_id, turn, text as instruction, output, coalesce(system, '') as system from p where role = 'user' and next_role = 'assistant')"""
+
+
+@query(f"with {_PAIRS} select * from t")
+def sft_from_conversations(spark, d):
+    return V.turns_to_pairs(table(spark, d, "conversations"))
+
+
+@query(f"with {_PAIRS} select conv_id, turn, output, 'Be brief.' as system, 'Answer.' as instruction from t")
+def prompt_view_override(spark, d):
+    return V.override_prompt(V.turns_to_pairs(table(spark, d, "conversations")), "Be brief.", "Answer.")
+
+
+@query(f"with {_PAIRS} select conv_id, turn, array_to_string(list_filter([nullif(trim(system, ' '), ''), nullif(trim(instruction, ' '), '')], lambda x: x is not null), chr(10)) as prompt from t")
+def build_prompt(spark, d):
+    t = V.turns_to_pairs(table(spark, d, "conversations"))
+    return t.select("conv_id", "turn", T.prompt(F.col("system"), F.col("instruction")).alias("prompt"))
+
+
+@query("with x as (select doc_id, 0 as union_idx from documents where lang = 'en' union all select item_id, 1 from benchmark) select union_idx, count(*) as n, min(doc_id) as least from x group by union_idx")
+def union_with_handpicked(spark, d):
+    a, b = table(spark, d, "documents").where("lang = 'en'").select("doc_id"), table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return V.union_ordered(a, b).groupBy("union_idx").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+
+
+@query("with n as (select *, row_number() over (order by item_id) as ord from benchmark) select item_id, (p - 1)::bigint as pick from n join (select unnest([3, 1, 7]) as pos, unnest([1, 2, 3]) as p) on ord = pos")
+def pick_positions(spark, d):
+    b = table(spark, d, "benchmark").withColumn("ord", F.row_number().over(Window.orderBy("item_id")))
+    return V.pick_by_position(b, "ord", (3, 1, 7)).select("item_id", "pick")
+
+
+@query("select coalesce(nullif(source, ''), 'unknown') as value, count(*) as n from documents group by 1")
+def category_distribution(spark, d):
+    return C.value_counts(table(spark, d, "documents"), F.col("source"), "unknown")
+
+
+@query("select count(*) as n_rows, count(distinct source) as n_sources, sum(n_chars)::bigint as n_chars, count(distinct lang) as n_langs from documents")
+def dataset_manifest(spark, d):
+    return table(spark, d, "documents").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"), F.countDistinct("lang").alias("n_langs"))
+
+
+_SPLIT = "s as (select doc_id, case when (((doc_id + 42) * 2654435761) % 1000003) % 1000 < 110 then 'eval' else 'train' end as split from documents)"
+
+
+@query(f"with {_SPLIT} select * from s")
+def split_hash(spark, d):
+    return V.hash_split(table(spark, d, "documents"), F.col("doc_id"), 110).select("doc_id", "split")
+
+
+@query(f"with {_SPLIT} select split, count(*) as n from s group by split")
+def split_counts(spark, d):
+    return V.hash_split(table(spark, d, "documents"), F.col("doc_id"), 110).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_SPLIT} select doc_id from s where split = 'train' order by doc_id limit 32")
+def smoke_subset(spark, d):
+    return V.hash_split(table(spark, d, "documents"), F.col("doc_id"), 110).where("split = 'train'").orderBy("doc_id").limit(32).select("doc_id")
+
+
+@query("select event_id, ((row_number() over (partition by user_id order by event_id)) - 1) // 8 as chunk from events")
+def chunks_per_user(spark, d):
+    t = table(spark, d, "events").withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 8))
+    return t.select("event_id", "chunk")
+
+
+# ---- rule metrics and pairwise judging: documents as model outputs, even and odd ids as sides A and B
+
+
+def _outputs(spark, d):
+    docs = table(spark, d, "documents")
+    cat = F.element_at(F.array(F.lit("data"), F.lit("training"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int"))
+    raw = F.concat(F.lit('{"category": "'), cat, F.lit('", "severity": "high", "summary": "s", "root_cause": "'), F.col("source"), F.lit('", "missing_info": ["m"], "next_steps": ["n"]'), F.when(F.col("doc_id") % 5 == 0, ', "extra": 1').otherwise(""), F.when(F.col("doc_id") % 7 == 0, "").otherwise("}"))
+    return docs.select("doc_id", F.col("lang").alias("variant"), raw.alias("raw_output"), F.lit('{"category": "data", "severity": "high"}').alias("ref"), F.length("text").alias("length"))
+
+
+_M = "m as (select doc_id, lang as variant, doc_id % 7 <> 0 as ok, doc_id % 5 = 0 as extra, doc_id % 3 as c, length(text) as length from documents)"
+
+
+@query(f"with {_M} select doc_id, ok as json_parse_success, ok as required_fields_present, ok and not extra as no_extra_top_level_fields, ok and c < 2 as category_enum_valid, ok and not extra and c < 2 as schema_valid, case when ok then c = 0 end as category_matches_reference from m")
+def rule_metrics(spark, d):
+    t = E.rule_metrics(_outputs(spark, d), reference="ref")
+    return t.select("doc_id", *[F.col(f"metrics.{k}").alias(k) for k in ("json_parse_success", "required_fields_present", "no_extra_top_level_fields", "category_enum_valid", "schema_valid", "category_matches_reference")])
+
+
+@query(f"""with {_M}, x as (select variant, unnest(['json_parse_success', 'schema_valid', 'category_matches_reference']) as metric, unnest([ok, ok and not extra and c < 2, case when ok then c = 0 end]) as v from m)
+select variant, metric, count(*) filter (v) as passed, count(v) as of from x group by variant, metric""")
+def metric_summary(spark, d):
+    t = E.metric_summary(E.rule_metrics(_outputs(spark, d), reference="ref"), flags=("json_parse_success", "schema_valid"), optional=("category_matches_reference",))
+    return t.drop("rate")
+
+
+@query(f"with {_M} select variant, string_agg(doc_id::varchar, ',' order by doc_id) as ids from m where not (ok and not extra and c < 2) group by variant")
+def failing_ids(spark, d):
+    return E.failing_ids(E.rule_metrics(_outputs(spark, d)), F.col("metrics.schema_valid"), "doc_id", "variant")
+
+
+@query("select lang, min(n_chars) as least, max(n_chars) as most, count(n_chars) as n from documents group by lang")
+def length_stats(spark, d):
+    return E.number_stats(table(spark, d, "documents"), ["lang"], "n_chars").drop("mean")
+
+
+@query("select event_type as value, count(*) as n from events where event_type is not null group by 1")
+def finish_reason_hist(spark, d):
+    return C.value_counts(table(spark, d, "events").where("event_type is not null"), F.col("event_type"))
+
+
+def _sides(spark, d):
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).cast("long").alias("sample_id"), (F.col("doc_id") % 2).alias("side"), "text", "n_chars", (F.col("n_chars") % 3 > 0).alias("valid"), "lang")
+    return E.pair_results(docs.where("side = 0").drop("side"), docs.where("side = 1").drop("side"))
+
+
+_P = "s as (select doc_id // 2 as sample_id, doc_id % 2 as side, text, n_chars, n_chars % 3 > 0 as valid, lang from documents), p as (select a.sample_id, a.valid as av, b.valid as bv, a.n_chars as an, b.n_chars as bn, a.text as a_text, b.text as b_text, a.lang as al, b.lang as bl from s a join s b on a.sample_id = b.sample_id and a.side = 0 and b.side = 1)"
+_J = _P + """, j as (select *, case when av and not bv then 'A' when bv and not av then 'B' when not av and not bv then 'tie' when an > bn + 500 then 'A' when bn > an + 500 then 'B' else 'tie' end as winner,
+case when av and bv then case when abs(an - bn) > 2000 then 'high' when abs(an - bn) > 1000 then 'medium' else 'low' end else 'high' end as winner_confidence, (an % 5 + 1)::int as a_score, (bn % 5 + 1)::int as b_score from p)"""
+
+
+def _judged(spark, d):
+    p = _sides(spark, d)
+    winner, confidence, source = E.schema_gate(F.col("a.valid"), F.col("b.valid"))
+    gap = F.col("a.n_chars") - F.col("b.n_chars")
+    own = F.when(gap > 500, "A").when(gap < -500, "B").otherwise("tie")
+    sure = F.when(F.abs(gap) > 2000, "high").when(F.abs(gap) > 1000, "medium").otherwise("low")
+    score = lambda s: (F.col(f"{s}.n_chars") % 5 + 1).cast("int")
+    both = F.struct(score("a").alias("A_score"), score("b").alias("B_score"))
+    w = F.coalesce(winner, own)
+    return p.select("sample_id", w.alias("winner"), F.coalesce(confidence, sure).alias("winner_confidence"), F.coalesce(source, F.lit("judge")).alias("judge_source"), both.alias("overall_scores"), F.create_map(F.lit("actionability"), both, F.lit("root_cause_quality"), both).alias("dimension_scores"), F.create_map(F.lit("actionability"), w, F.lit("root_cause_quality"), F.lit("tie")).alias("dimension_winners"), F.md5("a.text").alias("candidate_a"), F.md5("b.text").alias("candidate_b"))
+
+
+@query(f"with {_P} select sample_id, an as a_chars, bn as b_chars from p")
+def pair_join(spark, d):
+    return _sides(spark, d).select("sample_id", F.col("a.n_chars").alias("a_chars"), F.col("b.n_chars").alias("b_chars"))
+
+
+@query(f"with {_P} select sample_id, case when av and not bv then 'A' when bv and not av then 'B' when not av and not bv then 'tie' end as winner from p")
+def schema_gate(spark, d):
+    return _sides(spark, d).select("sample_id", E.schema_gate(F.col("a.valid"), F.col("b.valid"))[0].alias("winner"))
+
+
+@query(f"with {_J} select count(*) as n, count(*) filter (winner = 'A') as n_a, count(*) filter (winner = 'B') as n_b, count(*) filter (winner = 'tie') as n_tie, count(*) filter (winner <> 'tie') as n_usable, count(*) filter (winner <> 'tie' and winner_confidence = 'high') as n_high from j")
+def judge_summary(spark, d):
+    return E.judge_summary(_judged(spark, d)).drop("a_rate", "b_rate")
+
+
+@query(f"with {_J} select count(*) filter (winner = 'A')::double / count(*) filter (winner <> 'tie') as a_rate, count(*) filter (winner = 'B')::double / count(*) filter (winner <> 'tie') as b_rate from j")
+def win_rate_excl_ties(spark, d):
+    return E.judge_summary(_judged(spark, d)).select("a_rate", "b_rate")
+
+
+@query(f"""with {_J}, x as (select unnest(['actionability', 'root_cause_quality']) as dimension, unnest([winner, 'tie']) as won, a_score, b_score from j)
+select dimension, count(*) filter (won = 'A') as n_a, count(*) filter (won = 'B') as n_b, count(*) filter (won = 'tie') as n_tie, sum(a_score)::bigint as a_sum, sum(b_score)::bigint as b_sum, count(*) as n_scored from x group by dimension""")
+def dimension_stats(spark, d):
+    return E.dimension_stats(_judged(spark, d)).drop("delta")
+
+
+@query(f"""with {_J} select sample_id, case winner when 'A' then 'B' when 'B' then 'A' else winner end as winner, b_score as a_score, a_score as b_score from j""")
+def swapped_back(spark, d):
+    t = E.swap_sides(_judged(spark, d), F.lit(True))
+    return t.select("sample_id", "winner", F.col("overall_scores.A_score").alias("a_score"), F.col("overall_scores.B_score").alias("b_score"))
+
+
+@query(f"with {_P} select count(*) as n, count(*) filter (av is not distinct from bv) as same_valid, count(*) filter (al is not distinct from bl) as same_lang from p")
+def backend_compare(spark, d):
+    return E.compare_backends(_sides(spark, d), ["valid", "lang"], "n_chars", "n_chars").select("n", "same_valid", "same_lang")
+
+
+_D = _J + ", d as (select *, sample_id % 40 as prompt_id, case when winner = 'A' then md5(a_text) else md5(b_text) end as chosen, case when winner = 'A' then md5(b_text) else md5(a_text) end as rejected, case when winner = 'A' then a_score - b_score else b_score - a_score end::double as score_delta from j where winner <> 'tie')"
+
+
+def _pairs(spark, d):
+    return E.preference_rows(_judged(spark, d)).withColumn("prompt_id", F.col("sample_id") % 40)
+
+
+@query(f"with {_D} select sample_id, chosen, rejected, score_delta from d")
+def dpo_pairs(spark, d):
+    return _pairs(spark, d).select("sample_id", "chosen", "rejected", "score_delta")
+
+
+def _top(c):
+    return f"with {_D} select sample_id, prompt_id from d where winner_confidence in ({c}) qualify row_number() over (partition by prompt_id order by case winner_confidence when 'high' then 2 else 1 end desc, score_delta desc, sample_id) <= 2"
+
+
+@query(_top("'high'"))
+def dpo_high_only(spark, d):
+    return E.top_pairs(_pairs(spark, d), 2, ["high"], ["sample_id"], "prompt_id").select("sample_id", "prompt_id")
+
+
+@query(_top("'high', 'medium'"))
+def dpo_high_plus_medium(spark, d):
+    return E.top_pairs(_pairs(spark, d), 2, ["high", "medium"], ["sample_id"], "prompt_id").select("sample_id", "prompt_id")
+
+
+@query(f"with {_D} select d.sample_id, d.chosen, coalesce(b.text, '') as instruction from d left join (select item_id, text from benchmark) b on b.item_id = d.sample_id")
+def dpo_restore_prompts(spark, d):
+    prompts = table(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("instruction"))
+    return E.restore_prompts(_pairs(spark, d).select("sample_id", "chosen"), prompts, fields=("instruction",))
+
+
+@query("select * from (select source as grp, count(*)::int as n from documents where source in ('src1', 'src2', 'src3') group by source) order by n, grp limit 1")
+def category_balance_argmin(spark, d):
+    counts = table(spark, d, "documents").groupBy(F.col("source").alias("grp")).agg(F.count("*").cast("int").alias("n"))
+    return smallest_group(counts, "grp", ["src1", "src2", "src3"])
+
+
+@query("select source, lang, count(*) as n, grouping(source)::int as all_sources, grouping(lang)::int as all_langs from documents group by rollup(source, lang)")
+def source_lang_rollup(spark, d):
+    t = table(spark, d, "documents").rollup("source", "lang")
+    return t.agg(F.count("*").alias("n"), F.grouping("source").cast("int").alias("all_sources"), F.grouping("lang").cast("int").alias("all_langs"))
+
+
+@query("select v.variant, count(*) as n from benchmark cross join (select unnest(['base', 'tuned']) as variant) v group by v.variant")
+def variants_by_rows(spark, d):
+    v = spark.createDataFrame([("base",), ("tuned",)], "variant string")
+    return table(spark, d, "benchmark").crossJoin(F.broadcast(v)).groupBy("variant").agg(F.count("*").alias("n"))
