@@ -89,7 +89,10 @@ class TokenRollups:
         target = self._of(f"{self.path}/batches/{batch}")
         if self._fs.exists(target):
             return False
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
         c = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), *[F.col(k).cast("string").alias(k) for k in _KEYS], F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n"))
+        c.write.option("compression", "zstd").parquet(f"{aside}/changes")  # so that they are worked out once
+        c = self.spark.read.schema(c.schema).parquet(f"{aside}/changes")
         new = c.where("op = 'insert'").select("doc_id", *_KEYS, F.lit(1).cast("long").alias("docs"), F.col("n").alias("tokens"))
         if self._batches():
             late = c.where("op in ('delete', 'revise')").groupBy("doc_id", "tokenizer").agg(F.max(F.struct((F.col("op") == "delete").alias("gone"), "n", F.col("source").alias("s"), F.col("lang").alias("l"))).alias("x"))
@@ -100,7 +103,6 @@ class TokenRollups:
             plus = state.where("not x.gone").groupBy("doc_id", "tokenizer").agg(F.max("source").alias("source"), F.max("lang").alias("lang"), F.max("x").alias("x"))
             plus = plus.select("doc_id", F.coalesce("x.s", "source").alias("source"), F.coalesce("x.l", "lang").alias("lang"), "tokenizer", F.lit(1).cast("long").alias("docs"), F.col("x.n").alias("tokens"))
             new = new.unionByName(minus).unionByName(plus)
-        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
         new.write.option("compression", "zstd").parquet(f"{aside}/rows")
         rows = self.spark.read.schema(new.schema).parquet(f"{aside}/rows")
         rows.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{aside}/totals")
@@ -121,9 +123,11 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     load = count_tokens(docs, versions).withColumn("op", F.lit("insert"))
     rollups.commit("load", load)
     rollups.commit("load", load)
-    marked = docs.join(labels, F.col("doc_id") == F.col("lab_id"))
-    gone = marked.where("toxic = 1").select("doc_id", "source", "lang", F.lit(0).alias("n_tokens"), F.lit("delete").alias("op"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"))
+    gone = docs.drop("text").join(labels.where("toxic = 1"), F.col("doc_id") == F.col("lab_id")).select("doc_id", "source", "lang", F.lit(0).alias("n_tokens"), F.lit("delete").alias("op"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"))
     rollups.commit("takedown", gone)
-    bad = marked.where("quality = 0").select("doc_id", "source", "lang", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("text"))
+    poor = labels.where("quality = 0 and lab_id is not null").select("lab_id")
+    if poor.count() <= 1_000_000:  # else texts are shuffled to meet them
+        poor = F.broadcast(poor)
+    bad = docs.join(poor, F.col("doc_id") == F.col("lab_id")).select("doc_id", "source", "lang", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("text"))
     rollups.commit("respaced", count_tokens(bad, versions).withColumn("op", F.lit("revise")))
     return rollups.totals()
