@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, merged_by_steps, quoted, saved, spread_join
+from .common import SPACES, bounded_batches, fresh, merged_by_steps, quoted, saved, spread_join
 
 _SHARD = 1 << 16  # bytes of a filter that travel and are merged together
 
@@ -104,6 +104,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     import pyarrow as pa
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     if least_docs < 2:
         raise ValueError("least_docs is 2 at least")
     n_col, d_col, k_col, list_col = fresh(docs, "line_n", "line_dropped", "line_kept", "line_keys")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, fresh, quoted
+from .common import WORD_RE, fresh, quoted, saved
 
 
 def word_count(text: Column) -> Column:
@@ -40,12 +40,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mix_size: words of the text (null: 0). A source's rate is its target by its size (0 for an empty source). A document gets
     floor(rate) copies and one more with the probability of the fraction, decided by a hash of the seed and the id: rows that
     share an id (a null id too) decide alike and reruns agree. A source that holds a third of all rows is summed with partial
-    sums and joined to one row a source, which Spark broadcasts only if it is small, else splits. An empty table gives one.
+    sums and joined to a written table of one row a source, which Spark broadcasts only if that is small, else splits the sources' rows. An empty table gives one.
     """
     size, source, total, target, copies = fresh(docs, "mix_size", "mix_source", "mix_source_size", "mix_target", "mix_copies")
     own = docs.withColumn(size, word_count(quoted(text_col)))
     sizes = docs.select(quoted(source_col).alias("source"), word_count(quoted(text_col)).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     goals = source_targets(sizes, weights, most).select(F.col("source").alias(source), F.col("source_size").alias(total), F.col("target").alias(target))
+    goals = saved(goals, "targets")  # its size is then known when the join is planned: texts aren't shuffled to meet a small table
     rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(quoted(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     out = own.join(goals, quoted(source_col).eqNullSafe(F.col(source)), "left").withColumn(copies, (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int"))

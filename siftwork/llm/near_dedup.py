@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, merged_by_steps, mix, ngram_hashes, quoted, saved, spread_join, text_bytes, word_hashes
+from .common import bounded_batches, fresh, merged_by_steps, mix, ngram_hashes, quoted, saved, spread_join, text_bytes, word_hashes
 from .graph import connected_components
 
 _IDF_BITS = 20
@@ -120,6 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     import pyarrow as pa
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     idf = spark.sparkContext.broadcast(shingle_idf(docs, text_col, shingle))
     k = bands * rows
     kind = docs.schema[id_col].dataType.simpleString()
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are alike. Pairs are dealt to tiles by both keys, so that a text in many pairs travels to few."""
         pairs = saved(pairs, "pairs")
-        h = int(np.ceil((pairs.count() / 4000) ** 0.5)) or 1
+        h = int(np.ceil((pairs.count() / 1000) ** 0.5)) or 1
         tile = (F.pmod(F.xxhash64("a"), F.lit(h)) * h + F.pmod(F.xxhash64("b"), F.lit(h))).cast("int").alias("tile")
         dealt = pairs.select("a", "b", tile)
         need = dealt.select("tile", F.col("a").alias("key")).unionByName(dealt.select("tile", F.col("b").alias("key"))).distinct()
@@ -289,9 +290,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key, class_key, class_id, k2 = fresh(docs, "near_key", "near_class", "near_id", "near_hit")
     hit = named.select("key", "class_key").distinct().join(least, "class_key").select(F.col("key").alias(key), F.lit(True).alias(k2), F.col("class_key").alias(class_key), F.col("class_id").alias(class_id))
     keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(quoted(text_col).cast("string"), F.lit("")))))
-    joined = spread_join(keyed, hit, key, id_col, "left")
-    first = joined.where(F.col(k2).isNotNull() & quoted(id_col).eqNullSafe(F.col(class_id))).dropDuplicates([class_key])
-    return joined.where(F.col(k2).isNull()).unionByName(first).select(*[quoted(c) for c in docs.columns])
+    hit = saved(hit, "hits")
+    joined = keyed.join(F.broadcast(hit), key, "left") if hit.count() <= 500_000 else spread_join(keyed, hit, key, id_col, "left")
+    kept = joined.where(F.col(k2).isNull() | quoted(id_col).eqNullSafe(F.col(class_id)))
+    # rows that share the least id of their class, if there are any
+    tied = named.join(least, "class_key").where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.count("*").alias("m")).where("m > 1")
+    if not tied.isEmpty():
+        tied = tied.select(F.col("class_key").alias(class_key))
+        one = kept.join(tied, class_key, "left_semi").dropDuplicates([class_key])
+        kept = kept.join(tied, class_key, "left_anti").select(*kept.columns).unionByName(one.select(*kept.columns))
+    return kept.select(*[quoted(c) for c in docs.columns])
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, saved
+from .common import bounded_batches, quoted, saved
 
 
 @lru_cache(maxsize=4)
@@ -19,23 +19,32 @@ def encoder(name: str = "byte_bpe_50k"):
     holds a special token's string goes through tokenizers itself.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    marks = [t.content for t in slow.get_added_tokens_decoder().values()]
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        marks = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [slow.encode(t, add_special_tokens=False).ids if any(m in t for m in marks) else fast.encode_ordinary(t) for t in texts]
+        return [slow_encoder(name).encode(t, add_special_tokens=False).ids if any(m in t for m in marks) else fast.encode_ordinary(t) for t in texts]
 
     return encode
 
 
+@lru_cache(maxsize=4)
+def slow_encoder(name: str):
+    """tokenizers' own; loaded only where a text needs it, as it takes much memory."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, end_id: int, tokenizer: str) -> DataFrame:
     """(doc, doc_tokens, start, length, ids, task, place): each document's ids with end_id, cut at window.
 
@@ -55,7 +64,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, end_i
             texts = [x or "" for x in batch.column(1).to_pylist()]
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 4 << 20):
+                while end < len(texts) and (end == at or size < 1 << 20):
                     size += len(texts[end])
                     end += 1
                 which, total, start, length, ids, place = [], [], [], [], [], []
@@ -184,6 +193,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     import pyarrow as pa
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = saved(token_pieces(docs, id_col, text_col, window, end_id, tokenizer), "pieces")
     per_task = saved(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}

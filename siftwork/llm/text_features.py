@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, quoted, text_bytes, word_hashes
+from .common import bounded_batches, ngram_hashes, quoted, text_bytes, word_hashes
 
 #: Structure statistics and metadata of a text, in this order.
 STATS = ("log_words", "log_bytes", "word_bytes", "distinct_words", "repeated_next", "distinct_triples", "top_word", "capitals", "digits", "symbols", "bars", "exclamations", "stops", "commas", "other_ascii", "non_ascii", "lines_a_word", "repeated_lines")
@@ -50,6 +50,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     labels hold, of several texts the largest. The ids are cut to most before they meet the documents, so what is broadcast
     is bounded by most.
     """
+    bounded_batches(docs.sparkSession)
     own = labels.select(quoted(id_col).alias("lab_id"), *[quoted(c).alias(f"lab{i}") for i, c in enumerate(label_cols)]).dropna()
     own = own.groupBy("lab_id").agg(*[F.max(f"lab{i}").alias(f"lab{i}") for i in range(len(label_cols))])
     own = own.orderBy(F.xxhash64(F.lit(seed), "lab_id"), "lab_id").limit(most)
