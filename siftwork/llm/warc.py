@@ -214,7 +214,9 @@ def reassemble(records: DataFrame, max_record_bytes: int = 1 << 30) -> DataFrame
                 for *fields, n, blocks, status in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     block = b"".join(x or b"" for x in blocks)
                     text, payload = None, None
-                    if status == "ok":
+                    if status == "ok" and fields[1] == "revisit":  # a head alone: its payload is elsewhere
+                        text = block.partition(b"\r\n\r\n")[0].decode("latin-1")
+                    elif status == "ok":
                         text, payload, status = decode_http(block)
                     rows.append((*fields, n, len(block), text, payload if status == "ok" else None, status))
                 if rows:
