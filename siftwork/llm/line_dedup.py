@@ -142,6 +142,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
         return pd.DataFrame(out, columns=["n", "dropped", "kept"])
 
+    cut = cut.asNondeterministic()  # so that a filter on its result doesn't run it a second time
     (x,) = fresh(docs, "line_cut")
     joined = docs.join(drops, quoted(id_col).eqNullSafe(F.col("drop_id")), "left").withColumn(x, cut(quoted(text_col).cast("string"), F.col(list_col)))
     return joined.select(*[quoted(c) for c in docs.columns], F.col(f"{x}.n").alias(n_col), F.col(f"{x}.dropped").alias(d_col), F.col(f"{x}.kept").alias(k_col))

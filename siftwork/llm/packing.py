@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, end_i
     return docs.select(quoted(id_col), quoted(text_col).cast("string")).mapInArrow(cut, f"doc {kind}, doc_tokens long, start long, length long, ids binary, task long, place long")
 
 
-def combinations(lengths: list[int], window: int, depth: int = 3, breadth: int = 24) -> list[tuple[int, ...]]:
+def combinations(lengths: list[int], window: int, depth: int = 3, breadth: int = 96) -> list[tuple[int, ...]]:
     """Combinations of 1 to depth of the lengths that fill a window, or alone a power of two, without padding.
 
     All of one and two lengths; of three and more, each length with the breadth commonest others (lengths are in order of
@@ -130,8 +130,8 @@ def plan_windows(histogram: dict[int, int], window: int, depth: int = 3) -> list
     """(lengths, repeats) that use every piece of the histogram exactly once, each filling at most a window.
 
     Repeat counts of the enumerated combinations come from non-negative least squares, rounded down and held to what is
-    there; first come those, largest first. The residual is packed greedily: the longest piece left, then always the longest
-    that still fits, repeated as often as counts allow. Both work on counts, so the cost doesn't grow with the documents.
+    there; first come those, largest first. The residual is packed greedily: the longest piece left, then two that fill
+    the rest exactly if there are such, else the longest that still fits, repeated as often as counts allow. Both work on counts, so the cost doesn't grow with the documents.
     """
     left = np.zeros(window + 1, np.int64)
     for n, c in histogram.items():
@@ -154,7 +154,13 @@ def plan_windows(histogram: dict[int, int], window: int, depth: int = 3) -> list
         free = left.copy()
         while (fit := np.flatnonzero(free[: room + 1])).size:
             n = int(fit[-1])
-            k = int(min(free[n], room // n))
+            if pick and n != room:
+                two = np.minimum(free[:room], free[room:0:-1])  # lengths a with a partner room - a
+                if not room % 2 and free[room // 2] < 2:
+                    two[room // 2] = 0
+                if two.any():
+                    n = int(np.flatnonzero(two)[-1])
+            k = 1 if pick else int(min(free[n], room // n))
             pick += [n] * k
             free[n] -= k
             room -= n * k
