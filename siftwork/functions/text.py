@@ -42,7 +42,7 @@ def tidy(c: Column, phrases=PHRASES) -> Column:
 
 def tidy_list(c: Column, boilerplate=BOILERPLATE) -> Column:
     """Tidied items without blanks, boilerplate and repeats, in order of first occurrence; null: an empty array."""
-    done = F.transform(F.coalesce(c, F.array().cast("array<string>")), tidy)
+    done = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: tidy(x))
     return F.array_distinct(F.filter(done, lambda x: (x != "") & ~x.isin(*boilerplate)))
 
 

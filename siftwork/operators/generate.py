@@ -9,6 +9,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import contracts as K
 from ..contracts import RECORD_DDL
@@ -71,9 +72,9 @@ def call_model(df: DataFrame, make_client: Callable[[], Client], prompt: str = "
 
     A failed call is a row with an error: others go on. Put filters and limits before this; a filter after it saves no call.
     """
-    schema = df.schema.add(out, "string").add("elapsed_seconds", "double").add("error", "string") if out not in df.columns else None
-    if schema is None:
+    if out in df.columns:
         raise ValueError(f"{out} is there already")
+    schema = StructType(list(df.schema.fields)).add(out, "string").add("elapsed_seconds", "double").add("error", "string")
 
     def run(frames):
         client = make_client()

@@ -57,7 +57,7 @@ def read_json_array(spark: SparkSession, path: str, schema: str, allow_empty: bo
 def read_dataset(spark: SparkSession, path: str, schema: str, most: int = 0) -> DataFrame:
     """JSON lines or a JSON array by the file's suffix; the first most rows, or all if most <= 0."""
     df = read_records(spark, [path], schema).drop("src_idx", "src_file", "raw") if path.endswith(".jsonl") else read_json_array(spark, path, schema)
-    return df.where(F.dense_rank().over(Window.orderBy("src_line")) <= most) if most > 0 else df
+    return df.orderBy("src_line").limit(most) if most > 0 else df
 
 
 def read_keyed(spark: SparkSession, path: str, schema: str, key: str = "sample_id") -> DataFrame:
