@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +94,42 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: A run of white space, as Unicode has it, that the tokenizer's pattern isn't given: from some 700,000 on its matcher overflows its stack.
+_LONG_RUN = 100_000
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG_RUN)
+
+
+@lru_cache(maxsize=4)
+def ordinary_encoder(name: str):
+    """A function from a text to its ids, for the tiktoken file of that name; special tokens' strings are ordinary text.
+
+    A very long run of white space is merged as the one piece that the pattern would make of it (without its last character
+    if words follow, which that character goes with), so the ids are the same.
+    """
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    made = lru_cache(lambda pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))  # each once, where it is needed
+    e = made(public_tokenizers.PATTERN)
+
+    def encode(text: str) -> list[int]:
+        if len(text) < _LONG_RUN:
+            return e.encode_ordinary(text)
+        out, at = [], 0
+        for run in _RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += e.encode_ordinary(text[at : run.start()])
+            out += made(r"(?s:.+)").encode_ordinary(text[run.start() : end])
+            at = end
+        return out + e.encode_ordinary(text[at:])
+
+    return encode
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

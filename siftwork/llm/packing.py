@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, quoted, saved
+from .common import bounded_batches, ordinary_encoder, quoted, saved
 
 
 @lru_cache(maxsize=4)
@@ -18,20 +18,16 @@ def encoder(name: str = "byte_bpe_50k"):
     Texts go through tiktoken with the same vocabulary as ranks, which gives the same ids several times faster; a text that
     holds a special token's string goes through tokenizers itself.
     """
-    import base64
     import json
 
     import public_tokenizers
-    import tiktoken
 
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = ordinary_encoder(name)
     with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
         marks = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [slow_encoder(name).encode(t, add_special_tokens=False).ids if any(m in t for m in marks) else fast.encode_ordinary(t) for t in texts]
+        return [slow_encoder(name).encode(t, add_special_tokens=False).ids if any(m in t for m in marks) else fast(t) for t in texts]
 
     return encode
 

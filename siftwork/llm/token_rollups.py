@@ -7,24 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, new_path, quoted
+from .common import fresh, new_path, ordinary_encoder, quoted
 
 _KEYS = ("source", "lang", "tokenizer")
 
 
-def encoder(name: str):
-    """A function from a text to its number of ids, for the tiktoken file of that name; special tokens' strings are ordinary text."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    e = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(e.encode_ordinary(text))
-
-
 def count_tokens(docs: DataFrame, tokenizers: list[str], text_col: str = "text") -> DataFrame:
     """docs without text_col, a row for each tokenizer, with tokenizer and n_tokens of the whole text (null: 0); `_` is put before clashing names."""
     import pyarrow as pa
@@ -33,11 +20,11 @@ def count_tokens(docs: DataFrame, tokenizers: list[str], text_col: str = "text")
     name, number = fresh(docs.drop(text_col), "tokenizer", "n_tokens")
 
     def counted(batches):
-        counters = [encoder(t) for t in tokenizers]
+        counters = [ordinary_encoder(t) for t in tokenizers]
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             for t, count in zip(tokenizers, counters, strict=True):
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([t] * len(texts), pa.string()), pa.array([count(x) for x in texts], pa.int64())], [*(f.name for f in kept), name, number])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([t] * len(texts), pa.string()), pa.array([len(count(x)) for x in texts], pa.int64())], [*(f.name for f in kept), name, number])
 
     from pyspark.sql.types import LongType, StringType, StructType
 

@@ -314,6 +314,13 @@ def test_packing_is_a_round_trip(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_very_long_runs_of_white_space():
+    fast, slow = packing.encoder(), packing.slow_encoder("byte_bpe_50k")
+    space, lines, mixed = " " * 1_200_000, "\n" * 150_000, "\u3000 \t\x85" * 30_000
+    for t in (space, space + "a", f"b{space}c {lines}d", f"é.{lines}", f"x{mixed}'s{lines} 1", "\x1c" * 120_000 + "y", " " * 99_999 + "z", " " * 100_000 + "\x1f" + " " * 100_001):
+        assert fast([t])[0] == slow.encode(t, add_special_tokens=False).ids
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=30))
 @settings(max_examples=40, deadline=None)
 def test_plans_use_each_piece_once(h):
