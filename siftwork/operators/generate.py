@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from .. import contracts as K
 from ..contracts import RECORD_DDL
+from .evaluate import coin, judge_prompt, schema_gate, swap_sides
 
 
 class Client(Protocol):
@@ -117,6 +118,42 @@ def generate_pairs(prompts: DataFrame, a: Callable[[], Client], b: Callable[[],
     return call_model(left, b, out="candidate_b").withColumnsRenamed({"elapsed_seconds": "candidate_b_elapsed_seconds", "error": "error_b"})
 
 
+JUDGEMENT = "winner string, winner_confidence string, dimension_winners map<string,string>, dimension_scores map<string,struct<A_score:int,B_score:int>>, overall_scores struct<A_score:int,B_score:int>, reason string"
+
+
+def judge_pairs(df: DataFrame, make_client: Callable[[], Client], instructions: str, seed: int = 42, use_reference: bool = False, legacy_scores: bool = False) -> DataFrame:
+    """df with source, swapped, elapsed_seconds, error and the columns of JUDGEMENT.
+
+    df has what judge_prompt reads, and a_valid and b_valid: where these decide, the schema gate's verdict stands and no call
+    is made. A seeded toss for each sample_id shows the sides in either order; judgements are turned back. One that can't be
+    parsed, or whose winner isn't A, B or tie, has a null winner and the error bad_judgement; a failed call keeps its own.
+    """
+    winner, confidence, source = schema_gate(F.col("a_valid"), F.col("b_valid"))
+    gated = df.where(winner.isNotNull()).withColumns({"source": source, "swapped": F.lit(False), "elapsed_seconds": F.lit(None).cast("double"), "error": F.lit(None).cast("string"), "judged": F.struct(winner.alias("winner"), confidence.alias("winner_confidence"))})
+    blank = F.from_json(F.lit("{}"), JUDGEMENT)
+    gated = gated.withColumn("judged", blank.withField("winner", F.col("judged.winner")).withField("winner_confidence", F.col("judged.winner_confidence")))
+    pairs = [(f"{a}_{c}", f"{b}_{c}") for c in ("label", "output") for a, b in (("a", "b"), ("b", "a"))]
+    turned = {own: F.when(F.col("swapped"), F.col(other)).otherwise(F.col(own)) for own, other in pairs}
+    asked = df.where(winner.isNull()).withColumns({"source": F.lit("judge"), "swapped": F.coalesce(coin(F.col("sample_id"), seed), F.lit(False))}).withColumns(turned)
+    asked = asked.withColumns({"judge_system": F.lit(instructions), "judge_input": judge_prompt(use_reference)})
+    told = call_model(asked, make_client, "judge_input", "judge_system", "judge_text").withColumns(turned)
+    told = told.withColumn("judged", F.coalesce(F.from_json("judge_text", JUDGEMENT), blank))
+    bad = ~F.coalesce(F.col("judged.winner").isin("A", "B", "tie"), F.lit(False))
+    told = told.withColumns({"judged": F.when(bad, blank).otherwise(F.col("judged")), "error": F.coalesce("error", F.when(bad, "bad_judgement"))})
+    out = gated.unionByName(told.drop("judge_system", "judge_input", "judge_text"))
+    return swap_sides(out.select(*[c for c in out.columns if c != "judged"], "judged.*"), F.col("swapped"), legacy_scores=legacy_scores)
+
+
+def cross_variants(rows: DataFrame, variants: list[dict[str, str | None]]) -> DataFrame:
+    """Each row once for each variant, with the variants' keys as columns; these are a short list from a configuration."""
+    keys = list(dict.fromkeys(k for v in variants for k in v))
+    each = F.array(*[F.struct(*[F.lit(v.get(k)).cast("string").alias(k) for k in keys]) for v in variants])
+    taken = {c.lower() for c in rows.columns} & {k.lower() for k in [*keys, "own_variant"]}
+    if not variants or taken:
+        raise ValueError(f"no variants, or columns that are there already: {sorted(taken)}")
+    return rows.withColumn("own_variant", F.explode(each)).select(*rows.columns, "own_variant.*")
+
+
 def probe(client: Client) -> tuple[int, str]:
     """(0, answer), or 3 and the error: whether a client answers at all."""
     try:

@@ -189,3 +189,35 @@ def test_model_calls(spark):
     assert both["candidate_a"] != both["candidate_b"]
     assert G.response_text({"choices": [{"message": {"content": [{"type": "text", "text": " a"}, {"type": "x"}]}}]}) == "a"
     assert feeds.collect_until(3, 5, lambda: spark.createDataFrame([("a", 1)], "category string, n long"), lambda c: None, ["a", "b"]) == ["b"] * 5
+
+
+def test_judged_pairs_are_turned_back_and_gated(spark):
+    rows = [(f"s{i}", None, "task", "x", f"good {i}", "y", f"poor {i}", None, True, True) for i in range(30)]
+    rows += [("gate", None, "task", "x", "o", "y", "o", None, False, True), ("none", None, "task", "x", "o", "y", "o", None, None, False), ("odd", "sys", "task", "x", "odd", "y", "odd", None, True, True), ("down", None, "task", "x", "down", "y", "down", None, True, True)]
+    df = spark.createDataFrame(rows, "sample_id string, system string, prompt string, a_label string, a_output string, b_label string, b_output string, reference_output string, a_valid boolean, b_valid boolean")
+
+    def answer(system, prompt):
+        assert system == "judge"
+        if "down" in prompt:
+            raise TimeoutError("late")
+        if "odd" in prompt:
+            return '{"winner": "C", "reason": "?"}'
+        a = prompt.index("good") < prompt.index("poor")
+        hi, lo = (9, 2) if a else (2, 9)
+        return json.dumps({"winner": "A" if a else "B", "winner_confidence": "high", "dimension_winners": {"d": "A" if a else "B"}, "dimension_scores": {"d": {"A_score": hi, "B_score": lo}}, "overall_scores": {"A_score": hi, "B_score": lo}, "reason": "r"})
+
+    got = {r["sample_id"]: r for r in G.judge_pairs(df, lambda: G.FakeClient(answer=answer), "judge").collect()}
+    assert len(got) == len(rows)
+    own = [got[f"s{i}"] for i in range(30)]
+    assert {r["swapped"] for r in own} == {True, False}
+    assert all((r["winner"], r["overall_scores"]["A_score"], r["dimension_winners"], r["dimension_scores"]["d"]["B_score"], r["a_output"][:4], r["a_label"], r["source"], r["error"]) == ("A", 9, {"d": "A"}, 2, "good", "x", "judge", None) for r in own)
+    assert (got["gate"]["winner"], got["gate"]["source"], got["gate"]["winner_confidence"], got["gate"]["elapsed_seconds"]) == ("B", "schema_gate", "high", None) and got["none"]["winner"] == "tie"
+    assert (got["odd"]["winner"], got["odd"]["error"]) == (None, "bad_judgement") and (got["down"]["winner"], got["down"]["error"]) == (None, "TimeoutError: late")
+    assert G.judge_pairs(df.limit(0), lambda: G.FakeClient(), "judge").count() == 0
+
+
+def test_rows_cross_variants(spark):
+    got = G.cross_variants(spark.range(3), [{"variant": "base", "adapter": None}, {"variant": "tuned", "adapter": "p"}]).collect()
+    assert sorted((r["id"], r["variant"], r["adapter"]) for r in got) == sorted([(i, v, a) for i in range(3) for v, a in (("base", None), ("tuned", "p"))], key=lambda x: (x[0], x[1]))
+    with pytest.raises(ValueError):
+        G.cross_variants(spark.range(3), [{"ID": "x"}])
