@@ -47,6 +47,33 @@ def _merged(pairs) -> tuple[np.ndarray, np.ndarray]:
     return once, twice
 
 
+def _bit(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that hold these bits, and the bits in them (as np.packbits and np.unpackbits have them)."""
+    return (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
+
+
+def _has(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which keys have all their bits in a filter."""
+    byte, bit = _bit(at)
+    return ((filled[byte] & bit) != 0).all(0)
+
+
+def _put(filled: np.ndarray, at: np.ndarray) -> None:
+    byte, bit = _bit(at)
+    np.bitwise_or.at(filled, byte.ravel(), bit.ravel())
+
+
+def filter_bits(docs: DataFrame, text_col: str, least_chars: int, per_line: int = 8, most: int = 1 << 29) -> int:
+    """A power of two of at least per_line bits for each line of least_chars or more, between 2^20 and most.
+
+    One count over all texts. most bounds what a task holds (a quarter of a byte for each bit) and what is broadcast (an eighth):
+    64 MB. A corpus with more lines gets that, and more of its keys shuffle; the result stays the same.
+    """
+    lines = F.regexp_count(quoted(text_col).cast("string"), F.lit(r"[^\n]{%d,}+" % max(1, least_chars)))
+    n = docs.agg(F.coalesce(F.sum(lines), F.lit(0)).alias("n")).first()["n"]
+    return min(most, max(1 << 20, 1 << max(0, int(n) * per_line - 1).bit_length()))
+
+
 def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int, hashes: int) -> np.ndarray:
     """The twice-seen filter over the line keys of all documents, bits // 8 bytes however many lines there are.
 
@@ -61,7 +88,7 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
     def filled(batches):
         from pyspark import TaskContext
 
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for batch in batches:
             for text in batch.column(0):
                 keys = [x for x in line_keys(text.as_py(), least_chars) if x]
@@ -70,10 +97,9 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
                 rows = _as_rows(keys)
                 own, n = np.unique(rows, axis=0, return_counts=True)
                 at = _positions(own, bits, hashes)
-                seen = once[at].all(0) | (n > 1)
-                twice[at[:, seen]] = True
-                once[at] = True
-        o, t = (np.packbits(x).reshape(n_shards, -1) for x in (once, twice))
+                _put(twice, at[:, _has(once, at) | (n > 1)])
+                _put(once, at)
+        o, t = (x.reshape(n_shards, -1) for x in (once, twice))
         has = np.flatnonzero(o.any(1))
         pid = TaskContext.get().partitionId() % (1 << 18)
         yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([pid] * len(has), pa.int32()), pa.array([_packed(o[i], t[i]) for i in has], pa.binary())], ["shard", "pid", "data"])
@@ -89,7 +115,7 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
     return out.reshape(-1)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, bits: int = 1 << 24, hashes: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, bits: int | None = None, hashes: int = 4) -> DataFrame:
     """docs with the columns line_n, line_dropped (long) and line_kept (the text that stays); `_` is put before clashing names.
 
     A text is split at newlines (null or empty: one empty line). A line's key is the line without white space at its ends and
@@ -97,7 +123,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines except in the largest id that holds them. Rows that share an id are one document and treated alike; null ids are one
     document below all others. Other columns stay as they are. An empty table gives an empty one.
 
-    Two Bloom filters of a fixed size find keys seen twice; only those keys shuffle, as (key, id), to be counted exactly, so
+    Two Bloom filters of bits bits (a power of two; None: filter_bits') find keys seen twice; only those keys shuffle, as (key, id), to be counted exactly, so
     the result is the same for any size of filter. A key that a third of the documents hold is counted with partial sums;
     its rows meet one row in the join back, where adaptive execution splits them.
     """
@@ -108,16 +134,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if least_docs < 2:
         raise ValueError("least_docs is 2 at least")
     n_col, d_col, k_col, list_col = fresh(docs, "line_n", "line_dropped", "line_kept", "line_keys")
+    if bits is None:
+        bits = filter_bits(docs, text_col, least_chars)
     twice = spark.sparkContext.broadcast(repeated_filter(docs, text_col, least_chars, bits, hashes))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def suspects(batches):
-        have = np.unpackbits(twice.value).view(bool)
+        have = twice.value
         for batch in batches:
             rows, out = [], []
             for i, text in enumerate(batch.column(1)):
                 if keys := list({x for x in line_keys(text.as_py(), least_chars) if x}):
-                    hit = have[_positions(_as_rows(keys), bits, hashes)].all(0)
+                    hit = _has(have, _positions(_as_rows(keys), bits, hashes))
                     out += (found := [x for x, y in zip(keys, hit, strict=True) if y])
                     rows += [i] * len(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(out, pa.binary())], ["id", "key"])

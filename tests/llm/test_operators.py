@@ -265,7 +265,7 @@ def test_many_documents_come_near_the_target(spark):
 # ---- 6
 
 
-@pytest.mark.parametrize("bits", [1 << 22, 1 << 19])
+@pytest.mark.parametrize("bits", [None, 1 << 22, 1 << 19])
 def test_lines_against_brute_force(spark, docs, bits):
     df = docs.where("doc_id is null or doc_id <> 12 or salt = 1").withColumn("line_n", F.lit(0))
     rows = df.collect()
@@ -286,6 +286,12 @@ def test_lines_against_brute_force(spark, docs, bits):
     assert line_dedup.dedup_lines(df.limit(0), bits=bits).count() == 0
 
 
+def test_line_filter_grows_with_the_lines(spark):
+    df = spark.range(3000).select(F.concat_ws("\n", *[F.concat(F.lit("x" * 25), "id", F.lit(str(i))) for i in range(100)], F.lit("short")).alias("t"))
+    assert line_dedup.filter_bits(df, "t", 20) == 1 << 22 and line_dedup.filter_bits(df, "t", 20, most=1 << 21) == 1 << 21
+    assert line_dedup.filter_bits(df.limit(0), "t", 20) == 1 << 20
+
+
 # ---- 7
 
 
