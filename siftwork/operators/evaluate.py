@@ -105,6 +105,13 @@ def dimension_stats(df: DataFrame, winners: str = "dimension_winners", scores: s
     return t.groupBy("dimension").agg(*[F.count_if(F.col("won") == w).alias(f"n_{w.lower()}") for w in ("A", "B", "tie")], F.sum(a).alias("a_sum"), F.sum(b).alias("b_sum"), F.count(a).alias("n_scored"), F.avg(b - a).alias("delta"))
 
 
+def overall_stats(df: DataFrame, overall: str = "overall_scores") -> DataFrame:
+    """One row: mean overall scores of each side and their difference, over the n_scored pairs where both are there (null if there are none)."""
+    a, b = F.col(f"{overall}.A_score"), F.col(f"{overall}.B_score")
+    both = df.where(a.isNotNull() & b.isNotNull())
+    return both.agg(F.avg(a).alias("a_mean"), F.avg(b).alias("b_mean"), F.avg(b - a).alias("delta"), F.count("*").alias("n_scored"))
+
+
 def compare_backends(pairs: DataFrame, flags: list[str], elapsed: str = "elapsed", length: str = "length") -> DataFrame:
     """One row over pairs of structs a and b: how many agree on each flag, mean seconds, their difference, and mean lengths with none as 0."""
     agree = [F.count_if(F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))).alias(f"same_{f}") for f in flags]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import contracts as K
-from ..contracts import RECORD_DDL
+from ..contracts import DIAGNOSIS, RECORD_DDL, RecordContract
+from .curate import schema_reasons
 from .evaluate import coin, judge_prompt, schema_gate, swap_sides
 
 
@@ -112,6 +113,26 @@ def parse_generated(c: Column) -> Column:
     return flat
 
 
+def expand(seeds: DataFrame, make_client: Callable[[], Client], system: str, per_prompt: int = 2, variants: int = 4, parts: int = 1, contract: RecordContract = DIAGNOSIS) -> DataFrame:
+    """One row for each sample that was made, and one for each chunk that made none: chunk, seed_id, instruction, input, output, reasons, elapsed_seconds and error.
+
+    reasons are the contract's; none.samples stands where a call failed or its answer held no sample. route parts good and bad
+    rows. Write the result before using it more than once, as each use makes the calls again.
+    """
+    told = call_model(expansion_prompts(seeds, per_prompt, variants, parts).withColumn("system", F.lit(system)), make_client)
+    keys = [c for c in ("chunk_part", "chunk") if c in told.columns]
+    made = told.select(*keys, "elapsed_seconds", "error", F.explode_outer(parse_generated(F.col("raw_output"))).alias("s"))
+    made = made.select(*keys, F.col("s.seed_id").alias("seed_id"), F.col("s").isNull().alias("none"), "s.sample.*", "elapsed_seconds", "error")
+    return made.withColumn("reasons", F.when(F.col("none"), F.array(F.lit("none.samples"))).otherwise(schema_reasons(contract))).drop("none")
+
+
+def batch_stats(expanded: DataFrame) -> DataFrame:
+    """For each chunk of what expand has made: n_valid, n_invalid, elapsed_seconds and error."""
+    keys = [c for c in ("chunk_part", "chunk") if c in expanded.columns]
+    sample, bad = ~F.array_contains("reasons", "none.samples"), F.size("reasons") > 0
+    return expanded.groupBy(*keys).agg(F.count_if(sample & ~bad).alias("n_valid"), F.count_if(sample & bad).alias("n_invalid"), F.max("elapsed_seconds").alias("elapsed_seconds"), F.max("error").alias("error"))
+
+
 def generate_pairs(prompts: DataFrame, a: Callable[[], Client], b: Callable[[], Client], key: str = "sample_id") -> DataFrame:
     """Both models' answers to each prompt, side by side, as candidate_a and candidate_b."""
     left = call_model(prompts, a, out="candidate_a").withColumnsRenamed({"elapsed_seconds": "candidate_a_elapsed_seconds", "error": "error_a"})

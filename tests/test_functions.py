@@ -221,3 +221,29 @@ def test_rows_cross_variants(spark):
     assert sorted((r["id"], r["variant"], r["adapter"]) for r in got) == sorted([(i, v, a) for i in range(3) for v, a in (("base", None), ("tuned", "p"))], key=lambda x: (x[0], x[1]))
     with pytest.raises(ValueError):
         G.cross_variants(spark.range(3), [{"ID": "x"}])
+
+
+def test_expansion_parses_validates_and_counts(spark):
+    seeds = frame(spark, *[record(question=f"q{i}") for i in range(5)]).withColumnRenamed("src_line", "seed_id")
+
+    def answer(system, text):
+        asked = [x["seed_id"] for x in json.loads(text)["seeds"]]
+        if 4 in asked:
+            raise OSError("down")
+        if 2 in asked:
+            return "no JSON"
+        names = ("instruction", "input", "output")
+        (i, n, o) = record()
+        good = dict(zip(names, (i, dict(zip(K.DIAGNOSIS.inputs, n)), dict(zip(K.DIAGNOSIS.outputs, o)))))
+        return json.dumps({"generated": [{"seed_id": s, "samples": [good, {**good, "instruction": "x"}]} for s in asked]})
+
+    out = G.expand(seeds, lambda: G.FakeClient(answer=answer), "s").collect()
+    assert sorted((r["seed_id"], tuple(r["reasons"])) for r in out if r["seed_id"] is not None) == [(i, x) for i in (0, 1) for x in ((), ("schema.instruction",))]
+    rows = spark.createDataFrame(out, "chunk long, seed_id int, " + K.RECORD_DDL + ", elapsed_seconds double, error string, reasons array<string>")
+    got = {r["chunk"]: (r["n_valid"], r["n_invalid"], r["error"]) for r in G.batch_stats(rows).collect()}
+    assert got == {0: (2, 2, None), 1: (0, 0, None), 2: (0, 0, "OSError: down")}
+
+
+def test_overall_scores(spark):
+    df = spark.createDataFrame([((1, 3),), ((2, None),), ((4, 5),), (None,)], "overall_scores struct<A_score:int, B_score:int>")
+    assert tuple(E.overall_stats(df).first()) == (2.5, 4.0, 1.5, 2) and tuple(E.overall_stats(df.limit(0)).first()) == (None, None, None, 0)
