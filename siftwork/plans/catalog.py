@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import contracts as K
 from ..functions import text as T
-from ..functions.jsonx import pretty
+from ..functions.jsonx import array_literal, pretty
 from ..operators import curate as C
 from ..operators import evaluate as E
+from ..operators import repair as R
 from ..operators import views as V
-from ..streaming.feeds import smallest_group
+from ..sources.readers import read_jsonl, with_sample_ids
+from ..sources.sinks import scratch, write_jsonl
+from ..streaming.feeds import flush, smallest_group, stream_jsonl
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -390,3 +394,147 @@ def source_lang_rollup(spark, d):
 def variants_by_rows(spark, d):
     v = spark.createDataFrame([("base",), ("tuned",)], "variant string")
     return table(spark, d, "benchmark").crossJoin(F.broadcast(v)).groupBy("variant").agg(F.count("*").alias("n"))
+
+
+# ---- diagnosis records made from documents: the task's own scores, selection and repair
+
+
+def _pick(values, n=None):
+    """The value at doc_id modulo n, '' beyond the last: what makes the Column, and the SQL."""
+    values = [*values, *[""] * ((n or len(values)) - len(values))]
+    sql = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return lambda: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int")), f"[{sql}][doc_id % {len(values)} + 1]"
+
+
+_FIELDS = {"question": _pick(K.GOOD_SIGNALS, 29), "log": _pick(("OOM", "404", "RuntimeError", "fine", "out of memory")), "category": _pick((*K.CATEGORIES, "odd")), "severity": _pick(K.SEVERITIES), "summary": _pick(K.BAD_ADVICE, 23), "generic": _pick(K.GENERIC_ROOTS, 17), "weak": _pick(K.WEAK_STEPS, 19)}
+_MADE = "made as (select doc_id, " + ", ".join(f"{sql} as {k}" for k, (_, sql) in _FIELDS.items()) + ", repeat('x', (doc_id % 50)::int) || generic as root, case when doc_id % 2 = 0 then [weak, 'y'] else [weak] end as steps, case when doc_id % 4 < 2 then ['a', 'b'] else ['a'] end as missing from documents)"
+
+
+def _made(spark, d):
+    f = {k: make() for k, (make, _) in _FIELDS.items()}
+    i, lit = F.col("doc_id"), F.lit
+    steps, missing = F.when(i % 2 == 0, F.array(f["weak"], lit("y"))).otherwise(F.array(f["weak"])), F.when(i % 4 < 2, F.array(lit("a"), lit("b"))).otherwise(F.array(lit("a")))
+    root = F.concat(F.repeat(lit("x"), (i % 50).cast("int")), f["generic"])
+    record = F.struct(f["category"].alias("category"), f["severity"].alias("severity"), f["summary"].alias("summary"), root.alias("root_cause"), missing.alias("missing_info"), steps.alias("next_steps"))
+    return table(spark, d, "documents").select("doc_id", lit(K.INSTRUCTION).alias("instruction"), F.struct(f["question"].alias("user_question"), lit("e").alias("environment"), lit("c").alias("command"), f["log"].alias("log")).alias("input"), record.alias("output"))
+
+
+def _any(c, needles):
+    return "(" + " or ".join(f"contains({c}, '{n}')" for n in needles) + ")"
+
+
+def _found(c, needles):
+    return "(" + " + ".join(f"contains({c}, '{n}')::int" for n in needles) + ")"
+
+
+_ALL = "concat_ws('|', question, log, category, severity, summary, root, array_to_string(steps, '|'), 'a', 'b')"
+_SCORED = f"""{_MADE}, flags as (select *, {_any(_ALL, K.GOOD_SIGNALS)} as good, {_any('root', K.GENERIC_ROOTS)} as gen, {_found("array_to_string(steps, '|')", K.WEAK_STEPS)} as n_weak, {_found(_ALL, K.BAD_ADVICE)} as n_bad,
+{_any('log', ('OOM', 'out of memory'))} as oom, {_any('log', ('404', '403', 'No such file or directory'))} as conc, {_any('log', ('Traceback', 'RuntimeError', 'ValueError'))} as trace from made),
+scored as (select *, ((length(root) >= 28)::int + (len(steps) >= 2)::int + (len(missing) >= 2)::int + 2 * good::int - 2 * gen::int - n_weak - 3 * n_bad - (severity = 'low')::int + oom::int + conc::int + trace::int)::int as score,
+list_sort(list_filter([case when good then 'specific_signal' end, case when gen then 'generic_root' end, case when n_weak > 0 then 'weak_steps' end, case when n_bad > 0 then 'questionable_advice' end,
+case when severity = 'low' then 'low_severity' end, case when oom then 'clear_log_signal' end, case when conc then 'concrete_error' end], lambda x: x is not null)) as why from flags)"""
+
+
+@query(f"with {_SCORED} select doc_id, score, array_to_string(why, ',') as why from scored")
+def diagnosis_scores(spark, d):
+    score, why = C.quality_score()
+    return _made(spark, d).select("doc_id", score.alias("score"), F.array_join(why, ",").alias("why"))
+
+
+_PLACE = "list_position([" + ", ".join(f"'{c}'" for c in K.CATEGORIES) + "], category)"
+
+
+@query(f"""with {_SCORED}, c as (select category, {_PLACE} as place, count(*) as n from scored where category <> 'odd' group by category), t as (select *, sum(n) over () as total, least(90, sum(n) over ()) as goal from c),
+e as (select *, (goal * n)::double / total as exact from t), q as (select category, floor(exact) + case when row_number() over (order by exact - floor(exact) desc, place) <= goal - sum(floor(exact)) over () then 1 else 0 end as quota from e),
+r as (select *, row_number() over (partition by category order by score desc, len(steps) desc, len(missing) desc, length(root) desc, doc_id) as nth from scored), s as (select r.*, coalesce(nth <= quota, false) as selected from r left join q using (category))
+select doc_id, selected, case when selected then null when category = 'odd' then 'unknown_category' when len(why) = 0 then 'lower_ranked' else array_to_string(why, ',') end as reject_reasons from s""")
+def selected_records(spark, d):
+    return C.select_records(_made(spark, d), 90, ["doc_id"]).select("doc_id", "selected", F.array_join("reject_reasons", ",").alias("reject_reasons"))
+
+
+def _case(by: dict, oom="oom"):
+    text = lambda v: "'" + "|".join(v if isinstance(v, tuple) else (v,)) + "'"
+    return f"case when category = 'training' and {oom} then {text(by.get('training/oom', by['training']))} " + " ".join(f"when category = '{c}' then {text(by[c])}" for c in K.CATEGORIES) + " end"
+
+
+_RAW = _pick((*K.CATEGORY_MAP, "odd"))
+_MAPPED = "coalesce(case " + _RAW[1] + " " + " ".join(f"when '{a}' then '{b}'" for a, b in K.CATEGORY_MAP.items()) + " end, 'training')"
+_VERSIONLESS = "'" + "|".join(K.MISSING_INFO["dependency/no version"]) + "'"
+
+
+@query(f"""with r as (select doc_id, {_MAPPED} as category, doc_id % 4 = 0 as oom, doc_id % 3 = 0 as version, doc_id % 5 < 2 as bare from documents)
+select doc_id, category, case when bare then 'medium' else 'high' end as severity, case when bare then {_case(K.SUMMARIES)} else '这是 问题。' end as summary, case when bare then {_case(K.ROOT_CAUSES)} else 'r!' end as root_cause,
+case when not bare then 'm。' when category = 'dependency' and not version then {_VERSIONLESS} else {_case(K.MISSING_INFO)} end as missing_info, case when bare then {_case(K.NEXT_STEPS)} else 'n.' end as next_steps from r""")
+def repaired_records(spark, d):
+    i, lit = F.col("doc_id"), F.lit
+    given = lambda x: F.when(i % 5 >= 2, x)
+    record = F.struct(_RAW[0]().alias("category"), given(lit(" HIGH")).alias("severity"), given(lit("这是  灾难")).alias("summary"), given(lit("r!")).alias("root_cause"), given(F.array(lit("m"), lit("m "))).alias("missing_info"), given(F.array(lit("n."), lit(""))).alias("next_steps"))
+    task = F.struct(lit("q").alias("user_question"), F.when(i % 3 == 0, "Version 1").otherwise("none").alias("environment"), lit("c").alias("command"), F.when(i % 4 == 0, "CUDA OOM").otherwise("x").alias("log"))
+    out = R.clean_record(table(spark, d, "documents").select("doc_id", lit("").alias("instruction"), task.alias("input"), record.alias("output")))
+    return out.select("doc_id", *[F.col(f"output.{k}") for k in ("category", "severity", "summary", "root_cause")], *[F.array_join(f"output.{k}", "|").alias(k) for k in ("missing_info", "next_steps")])
+
+
+@query("select doc_id, coalesce(lang, '') || '\"' as lang, coalesce(source, '') as items from documents")
+def block_fields(spark, d):
+    """Values on lines of malformed blocks."""
+    block = F.concat(F.lit('  "lang" : "x"\n  "lang": "'), F.coalesce("lang", F.lit("")), F.lit('\\"",\n  "source": ["'), F.coalesce("source", F.lit("")), F.lit('", " "]'))
+    t = table(spark, d, "documents").select("doc_id", block.alias("t"))
+    return t.select("doc_id", T.unquote(T.field_line(F.col("t"), "lang")).alias("lang"), F.array_join(array_literal(T.field_line(F.col("t"), "source")), "|").alias("items"))
+
+
+@query(f"with {_J} select avg(a_score) as a_mean, avg(b_score) as b_mean, avg(b_score - a_score) as delta, count(*) as n_scored from j")
+def overall_stats(spark, d):
+    return E.overall_stats(_judged(spark, d))
+
+
+@query(f"with {_P} select sample_id, md5(concat_ws(chr(10), 'Sample ID: ' || sample_id, 'System prompt: ' || case when al = 'en' then 'be brief' else '(none)' end, 'Task input:', al, '', 'Candidate A (a):', coalesce(a_text, ''), '', 'Candidate B (b):', coalesce(b_text, ''))) as prompt_md5 from p")
+def judge_prompts(spark, d):
+    t = _sides(spark, d).select(F.col("sample_id").cast("string").alias("sample_id"), F.col("sample_id").alias("n"), F.when(F.col("a.lang") == "en", "be brief").otherwise("").alias("system"), F.col("a.lang").alias("prompt"), F.lit("a").alias("a_label"), F.col("a.text").alias("a_output"), F.lit("b").alias("b_label"), F.col("b.text").alias("b_output"))
+    return t.select(F.col("n").alias("sample_id"), F.md5(E.judge_prompt()).alias("prompt_md5"))
+
+
+# ---- keys, lookups, and what is written and read back
+
+
+@query("select source, max(doc_id) as doc_id from documents group by source")
+def keyed_last_wins(spark, d):
+    return E.last_by_key(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"])
+
+
+@query("select doc_id, 'train_' || case when doc_id between 0 and 999 then lpad(doc_id::varchar, 3, '0') else doc_id::varchar end as sample_id from documents")
+def default_sample_ids(spark, d):
+    return with_sample_ids(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query("select doc_id from documents where doc_id in (select doc_id from labels)")
+def key_intersection(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
+
+
+@query("select doc_id, quality, n_chars from labels join documents using (doc_id)")
+def required_lookup(spark, d):
+    """A lookup that fails where a label has no document."""
+    pairs = E.pair_results(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", required=True)
+    return pairs.select("doc_id", "a.quality", "b.n_chars")
+
+
+def _written(spark, d) -> str:
+    path = scratch(spark, "rows")
+    write_jsonl(table(spark, d, "documents").select("doc_id", "lang", F.md5("text").alias("text_md5")), path)
+    return path
+
+
+_ROWS = "doc_id long, lang string, text_md5 string"
+
+
+@query("select doc_id, lang, md5(text) as text_md5 from documents")
+def jsonl_round_trip(spark, d):
+    return read_jsonl(spark, _written(spark, d), _ROWS)
+
+
+@query("select lang, count(*) as n from documents group by lang")
+def stream_flush_counts(spark, d):
+    """A folder of JSON lines as a stream, flushed to Parquet once, and counted."""
+    out = scratch(spark, "flushed")
+    flush(stream_jsonl(spark, _written(spark, d), _ROWS), out, scratch(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).groupBy("lang").agg(F.count("*").alias("n"))

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where that is unset, in a temporary one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/siftwork-{label}-{uuid.uuid4().hex}"
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
