@@ -13,10 +13,47 @@ from .graph import connected_components
 
 _IDF_BITS = 20
 _SHARDS = 32
+#: A document in the counters, so that each of up to 2^30 equal ones can be a part of it.
+_ONE = 1 << 30
+_PLAIN_BANDS, _PARTS = 20, 120
+#: For each part of the hash range, the parts in the order in which it takes their minimum: itself, then the others.
+_BORROW = np.array([[i, *np.random.default_rng(i).permutation(np.delete(np.arange(_PARTS), i))] for i in range(_PARTS)])
+
+
+def plain_bands(own: np.ndarray) -> np.ndarray:
+    """20 hashes of 6 minima each over a text's sorted distinct shingles, unweighted: one for each 120th of the hash range; an empty part borrows from another."""
+    parts, first = np.unique(((own >> np.uint64(32)) * np.uint64(_PARTS)) >> np.uint64(32), return_index=True)
+    low, has = np.zeros(_PARTS, np.uint64), np.zeros(_PARTS, bool)
+    low[parts.astype(np.int64)], has[parts.astype(np.int64)] = own[first], True
+    low = low[_BORROW[np.arange(_PARTS), has[_BORROW].argmax(1)]].reshape(_PLAIN_BANDS, -1)
+    h = mix(np.arange(1, _PLAIN_BANDS + 1, dtype=np.uint64))
+    for j in range(low.shape[1]):
+        h = mix(h ^ low[:, j])
+    return h.view(np.int64)
+
+
+def hot_buckets(keyed: DataFrame, shingle: int) -> dict[int, tuple[bytes, int]]:
+    """The plain bands that more than one in 2,000 texts (key, t) share, 2,000 for each of 20 bands at most: the least key among those texts, and its rows."""
+    import pyarrow as pa
+
+    def banded(batches):
+        for batch in batches:
+            own = [np.unique(ngram_hashes(word_hashes(t)[0], shingle)) for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain_bands(x) if len(x) else None for x in own], pa.list_(pa.int64()))], ["key", "bands"])
+
+    rows = saved(keyed.mapInArrow(banded, "key binary, bands array<long>").where("bands is not null"), "plain")
+    each = rows.select("key", F.explode("bands").alias("b"))
+    hot = each.groupBy("b").count().where(F.col("count") > max(1, rows.count() / 2000)).select("b")
+    least = each.join(F.broadcast(hot), "b").groupBy("b", "key").count().groupBy("b").agg(F.min(F.struct("key", "count")).alias("x"))
+    return {r["b"]: (bytes(r["x"]["key"]), r["x"]["count"]) for r in least.toLocalIterator()}
 
 
 def shingle_idf(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
-    """The inverse document frequency of each of 2^20 hashed shingles, from all documents: ln(1 + N / df), df at least N / 500.
+    """The inverse document frequency of each of 2^20 hashed shingles, from all documents: ln(1 + N / df), df at least N / 500 and 1.
+
+    Copies count as one document, or a large group's copies would make what they share weigh little and each edit much: a text
+    that shares a hot bucket with a lesser text isn't counted, and equal texts share one count. Smaller groups are below the
+    floor in any case. What many texts share that are otherwise unlike stays counted. Texts without words don't count.
 
     A counter has the texts with a shingle in it. Shingles that few texts have share counters, N / 2,000 texts for a counter
     at 500 shingles a text; as that is below the floor at any size of corpus, they all weigh the same, and those that many
@@ -24,14 +61,22 @@ def shingle_idf(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     """
     import pyarrow as pa
 
+    keyed = docs.select(F.unhex(F.md5(F.coalesce(quoted(text_col).cast("string"), F.lit("")))).alias("key"), quoted(text_col).cast("string").alias("t"))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_buckets(keyed, shingle))
+
     def counted(batches):
         from pyspark import TaskContext
 
         df, n = np.zeros(1 << _IDF_BITS, "<i8"), 0
         for batch in batches:
-            for t in text_bytes(batch.column(0)):
-                df[np.unique(ngram_hashes(word_hashes(t)[0], shingle) >> np.uint64(64 - _IDF_BITS)).astype(np.int64)] += 1
-                n += 1
+            for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                own = np.unique(ngram_hashes(word_hashes(t)[0], shingle))
+                met = [hot.value[b] for b in plain_bands(own).tolist() if b in hot.value] if len(own) else []
+                if not len(own) or any(least != key for least, _ in met):
+                    continue
+                part = _ONE // met[0][1] if met else _ONE
+                df[np.unique(own >> np.uint64(64 - _IDF_BITS)).astype(np.int64)] += part
+                n += part
         pid = TaskContext.get().partitionId() % (1 << 18)
         data = [*(zlib.compress(x.tobytes(), 1) for x in df.reshape(_SHARDS, -1)), zlib.compress(np.array([n], "<i8").tobytes())]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SHARDS + 1), pa.int32()), pa.array([pid] * (_SHARDS + 1), pa.int32()), pa.array(data, pa.binary())], ["shard", "pid", "data"])
@@ -39,15 +84,15 @@ def shingle_idf(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     def added(parts):
         return zlib.compress(sum(np.frombuffer(zlib.decompress(x), "<i8") for x in parts).tobytes(), 1)
 
-    parts = docs.select(quoted(text_col).cast("string")).mapInArrow(counted, "shard int, pid int, data binary")
+    parts = keyed.mapInArrow(counted, "shard int, pid int, data binary")
     df, n = np.zeros((_SHARDS, (1 << _IDF_BITS) // _SHARDS)), 0
     for r in merged_by_steps(parts, added).toLocalIterator():
         got = np.frombuffer(zlib.decompress(bytes(r["data"])), "<i8")
         if r["shard"] == _SHARDS:
-            n = int(got[0])
+            n = int(got[0]) / _ONE
         else:
-            df[r["shard"]] = got
-    return np.log1p(n / np.maximum(df.reshape(-1), max(n, 1) / 500)).astype(np.float32)
+            df[r["shard"]] = got / _ONE
+    return np.log1p(max(n, 1) / np.maximum(df.reshape(-1), max(n / 500, 1))).astype(np.float32)
 
 
 def weighted_shingles(text: bytes, idf: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

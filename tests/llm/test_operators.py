@@ -203,6 +203,35 @@ def test_links_against_brute_force(spark, list_up_to):
     assert np.mean([got[i] == find(i) for i in range(len(rows))]) >= 0.97
 
 
+def edited(base, name, n, count=2):
+    """n copies of a text with count words of their own each."""
+    out = []
+    for i in range(n):
+        t = list(base)
+        for j in np.random.default_rng(i).choice(len(base), count, replace=False):
+            t[j] = f"{name}{i}_{j}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_large_groups_of_near_copies_link_as_small_ones_do(spark):
+    """Two words of 300 changed in each: any two copies have a plain Jaccard similarity of 0.87 or more."""
+    hot, small, equal = words(90, 300, 5000), words(91, 300, 5000), words(92, 300, 5000)
+    texts = edited(hot, "h", 150) + edited(small, "s", 3) + [" ".join(equal)] * 100 + edited(equal, "e", 5) + [" ".join(words(5000 + i, 120, 5000)) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = [0] * 150 + [150] * 3 + [153] * 105 + list(range(258, 458))
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_shared_passages_of_unlike_texts_weigh_little(spark):
+    shared = words(93, 40, 5000)
+    df = spark.createDataFrame([(i, " ".join(shared + words(6000 + i, 160, 5000))) for i in range(300)], "doc_id long, text string")
+    idf = near_dedup.shingle_idf(df, "text", 5)
+    common, own = (near_dedup.weighted_shingles(" ".join(x).encode(), idf)[1] for x in (shared, words(6000, 160, 5000)))
+    assert common.max() < 1.5 and np.median(own) > 5
+
+
 # ---- 4
 
 
