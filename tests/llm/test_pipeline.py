@@ -1,5 +1,7 @@
 """The pipeline's stages on the small tables, and on none."""
 
+import numpy as np
+
 import corpus_pipeline as cp
 
 DIR = "/root/testdata/sf0.001"
@@ -18,3 +20,16 @@ def test_stages(spark):
         seen.append(docs.count())
     assert seen[0] <= 200 and seen[2] <= seen[1] <= seen[0] and seen[0] >= 200 - 2 * len(junk) - 20
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
+
+
+def test_a_hot_group_of_edited_copies_comes_down_to_one(spark):
+    r = np.random.default_rng(40)
+    base, rows = [f"w{i}" for i in r.integers(0, 5000, 300)], []
+    for i in range(300):
+        t = list(base) if i % 3 == 0 else [f"w{x}" for x in r.integers(0, 5000, 120)]
+        for j in r.choice(len(t), 2, replace=False):
+            t[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(t), "en", "a", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_duplicates(spark, docs, DIR)
+    assert sorted(x["doc_id"] for x in kept.select("doc_id").collect()) == [i for i in range(300) if i == 0 or i % 3]
