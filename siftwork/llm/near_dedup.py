@@ -147,11 +147,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, bands: int = 18, rows: int = 5, list_up_to: int = 24) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, bands: int = 22, rows: int = 5, list_up_to: int = 24) -> tuple[DataFrame, DataFrame]:
     """(members, classes): members has (id, key) of each row, key identifying its text; classes (key, class_key) of the texts that are alike with another.
 
     Two texts link if the weighted Jaccard similarity of their TF-IDF shingles is least at least and they agree in a band of
-    rows samples (at 0.8 all of 18 bands of 5 miss a pair once in 1,300, at 0.9 once in 3 million; sets of more than two usually link another way).
+    rows samples (at 0.8 all of 22 bands of 5 miss a pair once in 6,200, at 0.9 once in 300 million; sets of more than two usually link another way).
     A class is a component of links. Equal texts share a key and are compared as one. Texts without words, null among them,
     have a null key: they are alike with nothing. Other columns aren't read. An empty table gives empty ones.
 
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in different classes matter: those of buckets of list_up_to texts at most are listed, each once; larger buckets are worked
     on in tiles of bounded size, within which pairs are compared in memory and only links leave. So no link found by the bands
     is lost, and no pairs of a large group are listed. Before texts are compared, two texts must agree in as many samples as
-    four standard deviations below the mean (linked ones fail that once in 30,000). A text that many documents hold is one.
+    six and a half standard deviations below the mean (linked ones fail that once in 10^9). A text that many documents hold is one.
     """
     import pandas as pd
     import pyarrow as pa
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = each.groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1").drop("n")
     members = saved(spread_join(each, several, "b", "key", salts=1), "buckets")
     facts = saved(own.select("key", "size", "slots").join(members.select("key").distinct(), "key", "left_semi"), "facts")
-    least_agree = int(least * k - 4 * (k * least * (1 - least)) ** 0.5)
+    least_agree = int(least * k - 6.5 * (k * least * (1 - least)) ** 0.5)
 
     def agree(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that may be linked by their sizes and samples; each once."""

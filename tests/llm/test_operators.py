@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import math
 import re
 import zlib
@@ -232,6 +233,11 @@ def test_shared_passages_of_unlike_texts_weigh_little(spark):
     assert common.max() < 1.5 and np.median(own) > 5
 
 
+def test_bands_miss_no_more_pairs_than_sixteen_of_four():
+    d = {k: v.default for k, v in inspect.signature(near_dedup.near_duplicates).parameters.items()}
+    assert (1 - d["least"] ** d["rows"]) ** d["bands"] <= (1 - 0.8**4) ** 16
+
+
 # ---- 4
 
 
