@@ -403,6 +403,25 @@ def test_counts_are_of_whole_texts(spark, docs):
     assert got[20, "byte_bpe_50k", "d"] == len(packing.encoder()([docs.where("doc_id = 20").first()["text"]])[0]) and got[5, "byte_bpe_50k", "a"] == 0
 
 
+def test_query_totals_against_plain_counts(spark, tmp_path):
+    rows = [(1, "one  two\n\nthree", "a", "en"), (2, "four five", "a", "en"), (3, "six\t\tseven  eight", "b", None), (4, None, None, "de"), (5, "  nine  ten ", "b", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 0, 0), (5, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = Counter()
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        count = token_rollups.ordinary_encoder(name)
+        for i, text, source, lang in rows:
+            if i != 2:  # withdrawn; 1 and 3 are respaced
+                text = " ".join(WORD.findall(text)) if i in (1, 3) else text or ""
+                want[source, lang, name, "docs"] += 1
+                want[source, lang, name, "tokens"] += len(count(text))
+    got = Counter()
+    for r in token_rollups.op8_token_rollups(spark, str(tmp_path)).collect():
+        got[r["source"], r["lang"], r["tokenizer"], "docs"] += r["n_docs"]
+        got[r["source"], r["lang"], r["tokenizer"], "tokens"] += r["n_tokens"]
+    assert got == want
+
+
 # ---- 9
 
 
