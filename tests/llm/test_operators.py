@@ -238,6 +238,12 @@ def test_bands_miss_no_more_pairs_than_sixteen_of_four():
     assert (1 - d["least"] ** d["rows"]) ** d["bands"] <= (1 - 0.8**4) ** 16
 
 
+def test_every_planted_pair_is_linked(spark):
+    texts = [x for i in range(40) for x in edited(words(7000 + i, 300, 5000), f"p{i}", 2)]
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 # ---- 4
 
 
