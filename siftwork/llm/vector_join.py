@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,44 +23,60 @@ def unit_vector(v) -> bytes | None:
     return (a / np.sqrt(a @ a) + 0.0).tobytes()
 
 
-def linked(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> np.ndarray:
+def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """The matrix of a's links to b, decided in double precision: single precision only settles what lies further from least than its error."""
-    d = a.shape[1]
-    slack = d * 1.3e-7 + 1e-6
-    b32, out = b.astype(np.float32), np.zeros((len(a), len(b)), bool)
-    for at in range(0, len(a), 1024):
-        s = a[at : at + 1024].astype(np.float32) @ b32.T
-        m = s >= least + slack
-        i, j = np.nonzero(np.abs(s - np.float32(least)) <= slack)
-        for k in range(0, len(i), 65536):
-            x, y = i[k : k + 65536], j[k : k + 65536]
-            m[x, y] = np.einsum("ij,ij->i", a[at + x], b[y]) >= least
-        out[at : at + 1024] = m
-    if same:
-        np.fill_diagonal(out, False)
-    return out
-
-
-def least_reachable(m: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For every row and column the least label reachable by links: labels spread until nothing changes, without listing pairs."""
-    top = max(left.max(), right.max()) + 1
-    rows, cols = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
-    sub = m[np.ix_(rows, cols)]
-    left, right = left.copy(), right.copy()
-    while True:
-        new_r = np.minimum(right[cols], np.min(np.where(sub, left[rows][:, None], top), 0, initial=top))
-        if same:
-            left[cols] = np.minimum(left[cols], new_r)
-        new_l = np.minimum(left[rows], np.min(np.where(sub, new_r[None, :], top), 1, initial=top))
-        done = (new_l == left[rows]).all() and (new_r == right[cols]).all()
-        left[rows], right[cols] = new_l, new_r
+    slack = a.shape[1] * 1.3e-7 + 1e-6
+    s = a.astype(np.float32) @ b.astype(np.float32).T
+    m = s >= least + slack
+    i, j = np.nonzero(np.abs(s - np.float32(least)) <= slack)
+    for k in range(0, len(i), 65536):
+        x, y = i[k : k + 65536], j[k : k + 65536]
+        m[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= least
+    return m
+
+
+def join_block(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, weights: np.ndarray, least: float, same: bool, strip: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(links, label) of each node: how much weight it links to, and the least node reachable by links.
+
+    a and b are the sides' unit vectors, a_at and b_at their nodes, which number weights. Links are found a strip of rows at a
+    time and kept as bits of the rows and columns that have any. Labels fall until nothing changes; a node whose label falls
+    takes its old label's node along, so long chains settle in few rounds. Pairs aren't listed.
+    """
+    n = len(weights)
+    links, lab, strips = np.zeros(n, np.int64), np.arange(n), []
+    for at in range(0, len(a), strip):
+        m = linked(a[at : at + strip], b, least)
         if same:
-            right = left = np.minimum(left, right)
-        if done:
-            return left, right
-
-
-def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cell: int = 4096, max_pivots: int = 2048, block: int = 4096) -> DataFrame:
+            m[np.arange(len(m)), at + np.arange(len(m))] = False
+        rows, cols = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
+        if not len(rows):
+            continue
+        m = m[np.ix_(rows, cols)]
+        i, j = a_at[at + rows], b_at[cols]
+        links[i] += np.where(m, weights[j], 0).sum(1)
+        if not same:
+            links[j] += np.where(m, weights[i][:, None], 0).sum(0)
+        strips.append((i, j, np.packbits(m, axis=1)))
+
+    def lower(at, low):
+        old = lab[at]
+        low = np.minimum(low, old)
+        np.minimum.at(lab, old, low)
+        lab[at] = np.minimum(lab[at], low)
+
+    while strips:
+        before = lab.copy()
+        for i, j, bits in strips:
+            m = np.unpackbits(bits, axis=1, count=len(j)).view(bool)
+            lower(j, np.where(m, lab[i][:, None], n).min(0))
+            lower(i, np.where(m, lab[j], n).min(1))
+        lab = lab[lab[lab]]
+        if (lab == before).all():
+            break
+    return links, lab
+
+
+def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cell: int = 8192, max_pivots: int = 2048, block: int = 8192) -> DataFrame:
     """(id, n_links, component_id, kept) for each row: other rows linked with it, and the least id reachable by links.
 
     Rows link if the cosine of their vectors is least at least (0 < least <= 1). Vectors that unit_vector rejects link with
@@ -67,120 +85,123 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     Equal vectors are one, with a count, so that copies aren't expanded. On unit vectors the chord is a metric: each vector
     lives in the cell of its nearest pivot and is also sent to a cell of lower number if its partners there can't be excluded:
-    neither by the distance to the bisector of both pivots nor by the cell's radius. A pair meets in one cell exactly. A cell
-    of more than block vectors is joined in tiles of block rows a side, so no task gets more, however common a vector is.
+    neither by the distance to the bisector of both pivots nor by the cell's radius. All distances are taken at the end of
+    their rounding error that excludes less, so no pair is lost, however near the vectors or the pivots are. A pair meets in one
+    cell exactly. A cell of more than block vectors is joined in tiles of block rows a side, so no task gets more, however
+    common a vector is. Vectors travel in the column's own precision and are made unit vectors where they are compared.
     On data without structure the bounds exclude little and the work is that of comparing all with all, in tiles.
     Pivots number max_pivots at most: they and two numbers a cell are all that the driver sees.
     """
     import pandas as pd
     import pyarrow as pa
+    from pyspark.sql.types import ArrayType, FloatType
 
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
+    v_type = vectors.schema[vector_col].dataType
+    item = np.dtype(np.float32 if isinstance(v_type, ArrayType) and isinstance(v_type.elementType, FloatType) else np.float64)
 
     def units(batches):
         for batch in batches:
-            out = [unit_vector(v) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "unit"])
+            vs = batch.column(1).to_pylist()
+            us = [unit_vector(v) for v in vs]
+            raw = [None if u is None else np.asarray(v, item).tobytes() for u, v in zip(us, vs, strict=True)]
+            keys = [None if u is None else hashlib.md5(u).digest() for u in us]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["id", "key", "raw"])
 
-    rows = vectors.select(quoted(id_col), quoted(vector_col)).mapInArrow(units, f"id {kind}, unit binary")
-    rows = saved(rows.withColumn("key", F.unhex(F.md5("unit"))), "units")
-    own = saved(rows.where("unit is not null").groupBy("key").agg(F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("id").alias("least_id")), "vectors")
+    rows = saved(vectors.select(quoted(id_col), quoted(vector_col)).mapInArrow(units, f"id {kind}, key binary, raw binary"), "units")
+    own = saved(rows.where("key is not null").groupBy("key").agg(F.min("raw").alias("raw"), F.count("*").alias("n"), F.min("id").alias("least_id")), "vectors")
+
+    def as_units(raws: list[bytes]) -> np.ndarray:
+        return np.stack([np.frombuffer(unit_vector(np.frombuffer(x, item))) for x in raws])
 
     total = own.count()
     wanted = int(min(max_pivots, max(1, -(-total // cell))))
     pivots: dict[int, np.ndarray] = {}
-    for r in own.orderBy(F.xxhash64("key"), "key").limit(wanted).select("unit").collect():
-        v = np.frombuffer(r["unit"])
-        pivots[len(v)] = np.vstack([pivots.get(len(v), np.zeros((0, len(v)))), v])
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    for r in own.orderBy(F.xxhash64("key"), "key").limit(wanted).select("raw").collect():
+        v = as_units([bytes(r["raw"])])
+        pivots[v.shape[1]] = np.vstack([pivots.get(v.shape[1], np.zeros((0, v.shape[1]))), v])
     shared = spark.sparkContext.broadcast(pivots)
 
-    def dots(units: list[bytes]):
-        """(rows, vectors, products with the pivots, pivots) for each length of vector."""
+    def chord(s, d: int, side: int):
+        """The distance of unit vectors with product s, at the upper (1) or lower (-1) end of its error."""
+        return np.sqrt(np.maximum(0.0, 2 - 2 * s + side * (4 * d + 16) * 2.3e-16)) * (1 + side * 1e-15)
+
+    def dots(raws: list[bytes]):
+        """(length, places, products with the pivots, pivots) for each length of vector."""
         by: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by.setdefault(len(u) // 8, []).append(i)
+        for i, u in enumerate(raws):
+            by.setdefault(len(u) // item.itemsize, []).append(i)
         for d, at in by.items():
             p = shared.value.get(d)
             p = np.eye(1, d) if p is None else p
-            x = np.frombuffer(b"".join(units[i] for i in at)).reshape(-1, d)
-            yield d, at, x, x @ p.T, p
+            yield d, np.array(at), as_units([raws[i] for i in at]) @ p.T, p
 
     def homes(batches):
         for batch in batches:
-            us = batch.column("unit").to_pylist()
-            home, dot, dim = np.zeros(len(us), np.int32), np.zeros(len(us)), np.zeros(len(us), np.int32)
-            for d, at, _, s, _ in dots(us):
-                home[at], dot[at], dim[at] = s.argmax(1), s.max(1), d
-            yield pa.RecordBatch.from_arrays([pa.array(dim), pa.array(home), pa.array(dot)], ["dim", "home", "dot"])
+            for d, _, s, p in dots(batch.column("raw").to_pylist()):
+                home, top = s.argmax(1), s.max(1)
+                n, low = np.bincount(home, minlength=len(p)), np.full(len(p), np.inf)
+                np.minimum.at(low, home, top)
+                q = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int32)), pa.array(q.astype(np.int32)), pa.array(n[q].astype(np.int64)), pa.array(low[q])], ["dim", "home", "n", "dot"])
 
-    cells = {(r["dim"], r["home"]): (r["n"], r["dot"]) for r in own.select("unit").mapInArrow(homes, "dim int, home int, dot double").groupBy("dim", "home").agg(F.count("*").alias("n"), F.min("dot").alias("dot")).collect()}
+    cells = {(r["dim"], r["home"]): (r["n"], r["dot"]) for r in own.select("raw").mapInArrow(homes, "dim int, home int, n long, dot double").groupBy("dim", "home").agg(F.sum("n").alias("n"), F.min("dot").alias("dot")).collect()}
 
-    def guests(d: int, s: np.ndarray, p: np.ndarray, home: np.ndarray) -> np.ndarray:
+    def guests(d: int, s: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Which cells below its own each row must visit."""
-        radius = np.array([np.sqrt(max(0.0, 2 - 2 * cells[d, q][1])) if (d, q) in cells else -9.0 for q in range(len(p))])
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[home]
-        near = s.max(1)[:, None] - s <= reach * apart + 1e-9  # the bisector
-        near &= np.sqrt(np.maximum(0, 2 - 2 * s)) <= radius[None, :] + reach + 1e-9  # the cell's ball
+        home, reach = s.argmax(1), chord(least, d, 1)
+        radius = np.array([chord(cells[d, q][1], d, 1) if (d, q) in cells else -9.0 for q in range(len(p))])
+        near = s.max(1)[:, None] - s <= (reach * chord(p @ p.T, d, 1))[home] + (4 * d + 16) * 2.3e-16  # the bisector
+        near &= chord(s, d, -1) <= radius[None, :] + reach  # the cell's ball
         return near & (np.arange(len(p))[None, :] < home[:, None])
 
     def visits(batches):
         for batch in batches:
-            for d, _, _, s, p in dots(batch.column("unit").to_pylist()):
-                n = guests(d, s, p, s.argmax(1)).sum(0)
+            for d, _, s, p in dots(batch.column("raw").to_pylist()):
+                n = guests(d, s, p).sum(0)
                 q = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int32)), pa.array(q.astype(np.int32)), pa.array(n[q].astype(np.int64))], ["dim", "cell", "n"])
 
-    visitors = {(r["dim"], r["cell"]): r["n"] for r in own.select("unit").mapInArrow(visits, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()}
+    visitors = {(r["dim"], r["cell"]): r["n"] for r in own.select("raw").mapInArrow(visits, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()}
     blocks = {c: -(-n // block) for c, (n, _) in cells.items()}
     guest_blocks = {c: -(-n // block) for c, n in visitors.items()}
 
     def dealt(batches):
         """A row for each tile that a vector takes part in: side 0 is the tile's left, 1 its right; in a tile of equal sides there is one row."""
         for batch in batches:
-            keys, us, ns = (batch.column(c).to_pylist() for c in ("key", "unit", "n"))
-            out = []
-            for d, at, _, s, p in dots(us):
-                home = s.argmax(1)
-                near = guests(d, s, p, home)
-                for i, h, g in zip(at, home.tolist(), near, strict=True):
-                    z = int.from_bytes(keys[i][:8], "little")
-                    nb = blocks[d, h]
-                    b = z % nb
-                    out += [(d, h, b, k, 0, i) for k in [*range(b, nb), *range(nb, nb + guest_blocks.get((d, h), 0))]]
-                    out += [(d, h, j, b, 1, i) for j in range(b)]
-                    for q in np.flatnonzero(g).tolist():
-                        k = blocks[d, q] + z % guest_blocks[d, q]
-                        out += [(d, q, j, k, 1, i) for j in range(blocks[d, q])]
-                while len(out) > 8192:
-                    yield batch_of(out[:8192], batch)
-                    out = out[8192:]
-            yield batch_of(out, batch)
-
-    def batch_of(out, batch):
-        *cols, at = zip(*out, strict=True) if out else [()] * 6
-        at = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols), *(batch.column(c).take(at) for c in ("key", "unit", "n"))], ["dim", "cell", "i", "k", "side", "key", "unit", "n"])
+            z = np.array([int.from_bytes(k[:7], "little") for k in batch.column("key").to_pylist()], np.int64)
+            for d, at, s, p in dots(batch.column("raw").to_pylist()):
+                nb, gb = (np.array([b.get((d, q), 0) for q in range(len(p))], np.int64) for b in (blocks, guest_blocks))
+                i, q = np.nonzero(guests(d, s, p))
+                # each vector at home, then its visits; a row of copies has a number t in each
+                who = np.concatenate([np.arange(len(at)), i])
+                where = np.concatenate([s.argmax(1), q])
+                guest = np.arange(len(who)) >= len(at)
+                copies = np.where(guest, nb[where], nb[where] + gb[where])
+                ends = np.cumsum(copies)
+                lo = 0
+                while lo < len(who):
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 32768, "right")))
+                    k = np.repeat(np.arange(lo, hi), copies[lo:hi])
+                    t = np.arange(len(k)) - np.repeat(ends[lo:hi] - copies[lo:hi] - (ends[lo - 1] if lo else 0), copies[lo:hi])
+                    c, row, g = where[k], at[who[k]], guest[k]
+                    b = z[row] % nb[c]
+                    left = np.where(g, t, np.where(t < nb[c], np.minimum(b, t), b))
+                    right = np.where(g, nb[c] + z[row] % np.maximum(gb[c], 1), np.where(t < nb[c], np.maximum(b, t), t))
+                    cols = [np.full(len(k), d), c, left, right, g | (t < b)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in cols), *(batch.column(x).take(pa.array(row)) for x in ("key", "raw", "n"))], ["dim", "cell", "i", "k", "side", "key", "raw", "n"])
+                    lo = hi
 
     def join_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         same = int(pdf["i"].iloc[0]) == int(pdf["k"].iloc[0])
-        l, r = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-        empty = pd.DataFrame({"key": [], "links": [], "root": []})
-        if not len(l) or not len(r):
-            return empty
-        a, b = (np.frombuffer(b"".join(x["unit"])).reshape(len(x), -1) for x in (l, r))
-        m = linked(a, b, least, same)
-        if not m.any():
-            return empty
-        keys = list(dict.fromkeys([*l["key"], *r["key"]]))
-        keys.sort()
-        place = {k: i for i, k in enumerate(keys)}
-        ll, rl = least_reachable(m, np.array([place[k] for k in l["key"]]), np.array([place[k] for k in r["key"]]), same)
-        frames = [(l, m.astype(np.float64) @ r["n"].to_numpy(float), ll)] + ([] if same else [(r, m.T.astype(np.float64) @ l["n"].to_numpy(float), rl)])
-        return pd.concat([pd.DataFrame({"key": x["key"], "links": n.astype(np.int64), "root": [keys[i] for i in lab]})[n > 0] for x, n, lab in frames])
-
-    tiles = own.select("key", "unit", "n").mapInArrow(dealt, "dim int, cell int, i int, k int, side int, key binary, unit binary, n long")
+        pdf = pdf.sort_values("key", ignore_index=True)  # a key is in a tile once: nodes are places in the order of keys
+        vectors, side = as_units(list(pdf["raw"])), pdf["side"].to_numpy()
+        at = [np.arange(len(pdf))] * 2 if same else [np.flatnonzero(side == x) for x in (0, 1)]
+        links, lab = join_block(vectors[at[0]], vectors[at[1]], *at, pdf["n"].to_numpy(np.int64), least, same)
+        return pd.DataFrame({"key": pdf["key"], "links": links, "root": pdf["key"].to_numpy()[lab]})[links > 0]
+
+    tiles = own.select("key", "raw", "n").mapInArrow(dealt, "dim int, cell int, i int, k int, side int, key binary, raw binary, n long")
     found = saved(tiles.groupBy("dim", "cell", "i", "k").applyInPandas(join_tile, "key binary, links long, root binary"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "key", "root")
@@ -195,6 +216,7 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """range_join of all embeddings at a cosine of 0.9; vectors that are null, zero or not finite link with nothing."""
     out = range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 

@@ -272,6 +272,29 @@ def test_range_join_against_brute_force(spark, cell, block):
     assert vector_join.range_join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell,block", [(1, 1), (2, 8), (3, 2), (9, 9)])
+def test_range_join_loses_no_link_between_near_vectors(spark, cell, block):
+    """Pairs a little above and below the limit, and vectors nearer to each other than products can tell apart."""
+    limit = math.acos(0.9)
+    angles = [0.0, 1e-8, 1e-8 + limit - 2e-10, 1e-9, limit + 1e-7, -limit + 1e-10, -1e-8, 3.0, 3.0 + 1e-8, 3.0 + limit - 1e-9, 3.0 - limit - 1e-7]
+    x = np.array([[math.cos(a), math.sin(a)] for a in angles])
+    m = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r["n_links"] for r in vector_join.range_join(df, cell=cell, block=block).collect()}
+    assert [got[i] for i in range(len(x))] == (m.sum(1) - 1).tolist()
+
+
+def test_labels_of_a_long_chain_settle():
+    """Points 15 degrees apart on planes that share an axis with the next: each is linked with its neighbours alone."""
+    n = 3000
+    x = np.zeros((n, n // 6 + 2))
+    for i, o in enumerate(np.random.default_rng(4).permutation(n)):
+        k, t = divmod(int(o), 6)
+        x[i, k], x[i, k + 1] = math.cos(t * math.pi / 12), math.sin(t * math.pi / 12)
+    links, lab = vector_join.join_block(x, x, np.arange(n), np.arange(n), np.ones(n, np.int64), 0.9, True)
+    assert (links == (x @ x.T >= 0.9).sum(1) - 1).all() and links.max() <= 3 and (lab == 0).all()
+
+
 # ---- 5
 
 
