@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, quoted, saved, spread_join
+from .common import bounded_batches, new_path, quoted, saved, spread_join
 
 RECORDS = "record_id string, warc_type string, target_uri string, page string, refers_to_page string, payload_digest string, segment_number long, segment_origin string, segment_total long, block binary"
-ASSEMBLED = "record_id string, warc_type string, target_uri string, page string, refers_to_page string, payload_digest string, n_segments long, block_bytes long, http_head string, payload binary, status string"
+ASSEMBLED = "record_id string, warc_type string, target_uri string, page string, refers_to_page string, payload_digest string, n_segments long, block_bytes long, http_head string, payload binary, payload_bytes long, payload_sha1 string, status string"
 _BATCH = 8 << 20
+#: What can't be an HTTP head, or a chunk's size line, for its length.
+_LONGEST_HEAD, _LONGEST_LINE = 1 << 24, 1 << 16
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: each 20 bits are four digits."""
-    h = F.sha1(data)
-    digits = [F.lpad(F.conv(F.substring(h, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
-    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+def base32(digest: bytes) -> str:
+    """The bare upper-case base32 of a SHA-1, which needs no padding."""
+    return base64.b32encode(digest).decode()
 
 
 def chunked(payload: bytes, size: int = 4096) -> bytes:
@@ -79,7 +81,7 @@ def records_of(page, uri, payload: bytes, digest: str, refers_to, revisit: bool,
     return out
 
 
-def write_archives(pages: DataFrame, path: str, page_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", segment_bytes: int = 1 << 15, records_per_file: int = 1000, least_revisit_bytes: int = 0) -> str:
+def write_archives(pages: DataFrame, path: str, page_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", segment_bytes: int = 1 << 15, records_per_file: int = 1000, least_revisit_bytes: int = 0, broadcast_up_to: int = 500_000) -> str:
     """Writes each row of pages as WARC records under path (any store that Spark writes to) and returns path.
 
     A payload (text as UTF-8, or binary; null: empty) is an HTTP response with chunked framing. Of equal payloads (by length
@@ -90,18 +92,22 @@ def write_archives(pages: DataFrame, path: str, page_col: str = "page_id", uri_c
     """
     import pyarrow as pa
 
+    bounded_batches(pages.sparkSession)
     src = pages.select(quoted(page_col).alias("page"), quoted(uri_col).cast("string").alias("uri"), F.coalesce(quoted(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    src = src.withColumns({"digest": base32_sha1(F.col("payload")), "n": F.length("payload")})
-    same = src.where(F.col("n") >= least_revisit_bytes).groupBy("digest", "n").agg(F.min("page").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    same = same.select(F.concat_ws(":", "digest", "n").alias("same"), "least")
-    rows = spread_join(src.withColumn("same", F.concat_ws(":", "digest", "n")), same, "same", "page", "left").withColumn("revisit", F.coalesce(F.col("least").isNotNull() & ~F.col("page").eqNullSafe(F.col("least")), F.lit(False)))
-    rows = rows.select("page", "uri", "payload", "digest", "least", "revisit")
+    src = src.withColumns({"sha1": F.sha1("payload"), "n": F.length("payload")})
+    same = src.where(F.col("n") >= least_revisit_bytes).groupBy("sha1", "n").agg(F.min("page").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    same = saved(same.select(F.concat_ws(":", "sha1", "n").alias("same"), "least"), "copies")
+    rows = src.withColumn("same", F.concat_ws(":", "sha1", "n"))
+    # payloads are only shuffled to meet the table of those with copies if that isn't small
+    rows = rows.join(F.broadcast(same), "same", "left") if same.count() <= broadcast_up_to else spread_join(rows, same, "same", "page", "left")
+    rows = rows.withColumn("revisit", F.coalesce(F.col("least").isNotNull() & ~F.col("page").eqNullSafe(F.col("least")), F.lit(False)))
+    rows = rows.select("page", "uri", "payload", "sha1", "least", "revisit")
 
     def made(batches):
         for batch in batches:
             out, size = [], 0
-            for r in zip(*(batch.column(c).to_pylist() for c in ("page", "uri", "payload", "digest", "least", "revisit")), strict=True):
-                got = records_of(*r, segment_bytes)
+            for page, uri, payload, sha1, *rest in zip(*(batch.column(c).to_pylist() for c in ("page", "uri", "payload", "sha1", "least", "revisit")), strict=True):
+                got = records_of(page, uri, payload, base32(bytes.fromhex(sha1)), *rest, segment_bytes)
                 out += got
                 size += sum(map(len, got))
                 if size > _BATCH:
@@ -114,17 +120,51 @@ def write_archives(pages: DataFrame, path: str, page_col: str = "page_id", uri_c
     return path
 
 
+_GAP = b"\r\n\r\n"
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.splitlines()
+    if not lines[0].startswith(b"WARC/"):
+        raise ValueError("not a WARC record")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:])}
+
+
+def parse_pieces(pieces):
+    """(fields, block) of each record of an archive that comes in pieces, cut at each blank line (and without those).
+
+    A block may hold blank lines: pieces are joined until its length is reached, so one record is held at a time. ValueError
+    where a record is cut short or isn't WARC.
+    """
+    fields, need, parts, got = None, 0, [], 0
+    for piece in pieces:
+        if fields is not None:
+            got += len(piece) + (len(_GAP) if parts else 0)
+            parts.append(piece)
+            if got < need:
+                continue
+            whole = _GAP.join(parts) if len(parts) > 1 else piece
+            yield fields, whole[:need]
+            piece, fields = whole[need:], None
+        piece = piece.lstrip(b"\r\n")
+        if piece.strip():
+            fields = _fields(piece)
+            need, parts, got = int(fields["content-length"]), [], 0
+    if fields is not None:
+        if need:
+            raise ValueError("record cut short")
+        yield fields, b""
+
+
 def parse_archive(stream):
     """(fields, block) of each record of a plain stream. ValueError where a record is cut short or isn't WARC."""
     while line := stream.readline():
         if not line.strip():
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        fields = {}
+        head = [line]
         while (line := stream.readline()).strip():
-            k, _, v = line.decode("utf-8", "replace").partition(":")
-            fields[k.strip().lower()] = v.strip()
+            head.append(line)
+        fields = _fields(b"".join(head))
         block = stream.read(n := int(fields["content-length"]))
         if len(block) < n:
             raise ValueError("record cut short")
@@ -136,33 +176,50 @@ def _number(x):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records under path, plain or gzip (whole files or a member a record), one row each; columns as in RECORDS.
+    """The records under path, one row each; columns as in RECORDS.
 
-    A file is a task's unit, as its framing can only be followed from its start; rows leave in small batches.
+    Files named *.gz (whole files or a member a record) are read as streams: Spark's text reader cuts them at blank lines and
+    a task holds one record and a batch of rows, however long an archive is. Other files, plain or gzip, are values, of 2 GB
+    at most, as Spark would else cut them where no record begins. A file is a task's unit: its framing can only be followed from its start.
     """
     import pyarrow as pa
 
+    bounded_batches(spark)
     names = [c.split()[0] for c in RECORDS.split(", ")]
-    schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in RECORDS.split(", ")])
+    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in RECORDS.split(", ")]
+
+    def as_batches(records):
+        rows, size = [], 0
+        for f, block in records:
+            digest = f.get("warc-payload-digest", "")
+            rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-page"), f.get("warc-refers-to-page"), digest.removeprefix("sha1:") or None, _number(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), _number(f.get("warc-segment-total-length")), block))
+            size += len(block)
+            if size > _BATCH or len(rows) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def streamed(batches):
+        from itertools import groupby
+
+        pieces = ((file, piece) for batch in batches for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield from as_batches(r for _, own in groupby(pieces, lambda x: x[0]) for r in parse_pieces(p for _, p in own))
 
     def parsed(batches):
         for batch in batches:
             for content in batch.column("content"):
                 data = content.as_buffer()
                 raw = io.BytesIO(data)
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2].to_pybytes() == b"\x1f\x8b" else raw
-                rows, size = [], 0
-                for f, block in parse_archive(stream):
-                    digest = f.get("warc-payload-digest", "")
-                    rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-page"), f.get("warc-refers-to-page"), digest.removeprefix("sha1:") or None, _number(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), _number(f.get("warc-segment-total-length")), block))
-                    size += len(block)
-                    if size > _BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
+                yield from as_batches(parse_archive(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2].to_pybytes() == b"\x1f\x8b" else raw))
+
+    zipped = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", _GAP.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz,gz,z}").load(path).where("length > 0").select("content")
+    return zipped.mapInArrow(streamed, RECORDS).unionByName(plain.mapInArrow(parsed, RECORDS))
+
 
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(parsed, RECORDS)
+def is_chunked(head: str) -> bool:
+    return any(k.strip().lower() == "transfer-encoding" and "chunked" in v.lower() for k, _, v in (x.partition(":") for x in head.split("\r\n")[1:]))
 
 
 def decode_http(block: bytes) -> tuple[str | None, bytes, str]:
@@ -173,7 +230,7 @@ def decode_http(block: bytes) -> tuple[str | None, bytes, str]:
     text = head.decode("latin-1")
     if not gap:
         return text, b"", "bad_http"
-    if any(k.strip().lower() == "transfer-encoding" and "chunked" in v.lower() for k, _, v in (x.partition(":") for x in text.split("\r\n")[1:])):
+    if is_chunked(text):
         try:
             return text, dechunk(body), "ok"
         except ValueError:
@@ -181,48 +238,173 @@ def decode_http(block: bytes) -> tuple[str | None, bytes, str]:
     return text, body, "ok"
 
 
-def reassemble(records: DataFrame, max_record_bytes: int = 1 << 30) -> DataFrame:
+class PayloadStream:
+    """An HTTP response block decoded as it comes: what decode_http gives for the whole, with the payload's length and SHA-1.
+
+    The payload itself is kept up to most bytes; beyond that only its length and digest are had.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.sha, self.n, self.kept = most, hashlib.sha1(), 0, []
+        self.head, self.status, self.step, self.rest, self.left = None, "ok", "head", b"", 0
+
+    def _take(self, data: bytes) -> None:
+        self.sha.update(data)
+        self.n += len(data)
+        if self.n <= self.most:
+            self.kept.append(data)
+        else:
+            self.kept = []
+
+    def feed(self, data: bytes) -> None:
+        data = self.rest + data
+        self.rest = b""
+        while data and self.step != "over":
+            if self.step == "plain":
+                self._take(data)
+                return
+            if self.step == "data":
+                part, data = data[: self.left], data[self.left :]
+                self._take(part)
+                self.left -= len(part)
+                if not self.left:
+                    self.step = "end"
+            elif self.step == "end":  # the line end after a chunk's data
+                if len(data) < 2:
+                    self.rest = data
+                    return
+                if data[:2] != b"\r\n":
+                    return self._broken("bad_chunks")
+                data, self.step = data[2:], "size"
+            elif self.step == "size":
+                at = data.find(b"\r\n")
+                if at < 0:
+                    self.rest = data
+                    return self._broken("bad_chunks") if len(data) > _LONGEST_LINE else None
+                digits = data[:at].split(b";")[0].strip()
+                if not digits or digits.strip(b"0123456789abcdefABCDEF"):
+                    return self._broken("bad_chunks")
+                self.left, data = int(digits, 16), data[at + 2 :]
+                self.step = "data" if self.left else "over"
+            else:
+                if len(data) < 5 and b"HTTP/".startswith(data):
+                    self.rest = data
+                    return
+                if not data.startswith(b"HTTP/"):
+                    self.step = "plain"
+                    continue
+                at = data.find(_GAP)
+                if at < 0:
+                    self.rest = data
+                    return self._broken("bad_http") if len(data) > _LONGEST_HEAD else None
+                self.head, data = data[:at].decode("latin-1"), data[at + 4 :]
+                self.step = "size" if is_chunked(self.head) else "plain"
+
+    def _broken(self, status: str) -> None:
+        self.step, self.status, self.rest, self.kept = "over", status, b"", []
+
+    def end(self) -> tuple:
+        """(head, payload, payload_bytes, payload_sha1, status)."""
+        if self.step == "head" and self.rest.startswith(b"HTTP/"):
+            self.head = self.rest.decode("latin-1")
+            self._broken("bad_http")
+        elif self.step == "head":
+            self._take(self.rest)
+        elif self.step in ("size", "data", "end"):
+            self._broken("bad_chunks")
+        if self.status != "ok":
+            return self.head, None, None, None, self.status
+        return self.head, b"".join(self.kept) if self.n <= self.most else None, self.n, base32(self.sha.digest()), "ok"
+
+
+def reassemble(records: DataFrame, max_payload_bytes: int = 1 << 30) -> DataFrame:
     """Whole records from segments; columns as in ASSEMBLED. One row a record, in any order.
 
-    Continuations are grouped by the origin's identifier (the first segment's own), ordered by segment number and joined;
-    chunked framing of the payload is then decoded. Records without a segment number need no shuffle. status: ok, or
+    Continuations are grouped by the origin's identifier (the first segment's own) and ordered by segment number; chunked
+    framing of the payload is then decoded. Records without a segment number need no shuffle. status: ok, or
     missing_segment (a number from 1 on lacks, or the last segment's total length lacks), conflicting_segment (one number with
-    different blocks; equal repeats count once), length_mismatch (the sum isn't the total length), bad_http, bad_chunks, or
-    oversize: over max_record_bytes in all, which no value can hold; its segments are not collected. Payload is null unless ok.
-    Null blocks are empty. Null identifiers of segments form a group. Columns besides those of RECORDS are not read.
+    different blocks; equal repeats count once), length_mismatch (the sum isn't the total length), bad_http, bad_chunks.
+    payload_bytes and payload_sha1 (base32) are of the whole payload, however long: segments are decoded one after the other
+    as they come, sorted, from the shuffle, so a record is never held in memory. The payload itself is null over
+    max_payload_bytes (0: never kept but for empty ones), and like these unless ok. A revisit has a head alone. Null blocks are
+    empty. Null identifiers of segments form a group. Columns besides those of RECORDS are not read.
     """
     import pyarrow as pa
 
-    records = records.select(*[c.split()[0] for c in RECORDS.split(", ")]).withColumn("block", F.coalesce("block", F.lit(b"")))
+    spark = records.sparkSession
+    bounded_batches(spark)
     head = ["record_id", "warc_type", "target_uri", "page", "refers_to_page", "payload_digest"]
-    whole = records.where("segment_number is null").select(*head, F.lit(1).cast("long").alias("n"), F.array("block").alias("blocks"), F.lit("ok").alias("status"))
-    parts = saved(records.where("segment_number is not null").withColumn("origin", F.coalesce("segment_origin", "record_id")), "segments")  # so that they are parsed once
-    once = parts.groupBy("origin", "segment_number", F.md5("block").alias("sum")).agg(F.first("block").alias("block"), F.max("segment_total").alias("total"), F.max(F.when(F.col("segment_origin").isNull(), F.struct(*head))).alias("head"))
-    sizes = once.groupBy("origin").agg(F.sum(F.length("block")).alias("bytes"), F.count("*").alias("n"), F.countDistinct("segment_number").alias("numbers"), F.max("segment_number").alias("last"), F.max("total").alias("total"), F.max(F.struct(F.col("total").isNotNull().alias("x"), F.col("segment_number").alias("y"))).alias("end"), F.max("head").alias("head"))
-    verdict = F.when(F.col("bytes") > max_record_bytes, "oversize").when(F.col("n") > F.col("numbers"), "conflicting_segment").when((F.col("last") != F.col("n")) | F.col("head").isNull() | F.col("total").isNull() | (F.col("end.y") != F.col("last")), "missing_segment").when(F.col("bytes") != F.col("total"), "length_mismatch").otherwise("ok")
-    sizes = sizes.withColumn("status", verdict)
-    names = [F.coalesce(F.col(f"head.{c}"), F.col("origin") if c == "record_id" else F.lit(None)).alias(c) for c in head]
-    bad = sizes.where("status <> 'ok'").select(*names, "n", F.expr("cast(array() as array<binary>)").alias("blocks"), "status")
-    good = once.join(sizes.where("status = 'ok'").select("origin", F.col("n").alias("of")), "origin", "left_semi").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment_number", "block"))).alias("s"), F.max("head").alias("head"))
-    good = good.select(*names, F.size("s").cast("long").alias("n"), F.col("s.block").alias("blocks"), F.lit("ok").alias("status"))
-    schema = [(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in ASSEMBLED.split(", ")]
+    names = [c.split()[0] for c in ASSEMBLED.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in ASSEMBLED.split(", ")]
+    # both branches read the records: they are kept so that archives are parsed once
+    records = saved(records.select(*[c.split()[0] for c in RECORDS.split(", ")]).withColumn("block", F.coalesce("block", F.lit(b""))).withColumn("sum", F.when(F.col("segment_number").isNotNull(), F.md5("block"))), "records")
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def one(fields, n, blocks, total):
+        if fields[1] == "revisit":  # a head alone: its payload is elsewhere
+            text = b"".join(blocks).partition(_GAP)[0].decode("latin-1")
+            return (*fields, n, total, text, None, None, None, "ok")
+        stream = PayloadStream(max_payload_bytes)
+        for x in blocks:
+            stream.feed(x)
+        return (*fields, n, total, *stream.end())
+
+    def bounded(rows):
+        """Rows in batches of bounded size."""
+        out, size = [], 0
+        for r in rows:
+            out.append(r)
+            size += len(r[9] or b"")
+            if size > _BATCH or len(out) >= 4096:
+                yield made(out)
+                out, size = [], 0
+        if out:
+            yield made(out)
 
     def decoded(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = []
-                for *fields, n, blocks, status in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    block = b"".join(x or b"" for x in blocks)
-                    text, payload = None, None
-                    if status == "ok" and fields[1] == "revisit":  # a head alone: its payload is elsewhere
-                        text = block.partition(b"\r\n\r\n")[0].decode("latin-1")
-                    elif status == "ok":
-                        text, payload, status = decode_http(block)
-                    rows.append((*fields, n, len(block), text, payload if status == "ok" else None, status))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], [n for n, _ in schema])
-
-    return whole.unionByName(good).unionByName(bad).mapInArrow(decoded, ASSEMBLED)
+        yield from bounded(one(fields, 1, [block], len(block)) for batch in batches for *fields, block in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    whole = records.where("segment_number is null").select(*head, "block").mapInArrow(decoded, ASSEMBLED)
+
+    parts = records.where("segment_number is not null").withColumn("origin", F.coalesce("segment_origin", "record_id"))
+    once = parts.groupBy("origin", "segment_number", "sum").agg(F.max(F.length("block")).alias("size"), F.max("segment_total").alias("total"), F.max(F.when(F.col("segment_origin").isNull(), F.struct(*head))).alias("head"))
+    sizes = once.groupBy("origin").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("segment_number").alias("numbers"), F.min("segment_number").alias("first"), F.max("segment_number").alias("last"), F.max("total").alias("total"), F.max(F.struct(F.col("total").isNotNull().alias("x"), F.col("segment_number").alias("y"))).alias("end"), F.max("head").alias("head"))
+    verdict = F.when(F.col("n") > F.col("numbers"), "conflicting_segment").when((F.col("first") != 1) | (F.col("last") != F.col("n")) | F.col("head").isNull() | F.col("total").isNull() | (F.col("end.y") != F.col("last")), "missing_segment").when(F.col("bytes") != F.col("total"), "length_mismatch").otherwise("ok")
+    own = [F.coalesce(F.col(f"head.{c}"), F.col("origin") if c == "record_id" else F.lit(None)).alias(c) for c in head]
+    # an origin's verdict comes before its segments, in one sorted stream
+    first = sizes.select("origin", F.lit(0).cast("long").alias("segment_number"), F.lit(0).alias("kind"), *own, "n", "bytes", verdict.alias("status"), F.lit(None).cast("binary").alias("block"))
+    blocks = parts.select("origin", "segment_number", F.lit(1).alias("kind"), *[F.lit(None).cast("string").alias(c) for c in head], F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("status"), "block")
+    stream = first.unionByName(blocks).repartition("origin").sortWithinPartitions("origin", "kind", "segment_number")
+
+    def joined(batches):
+        def rows():
+            yield from (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+        def each():
+            it = rows()
+            now = next(it, None)
+            while now is not None:
+                _, _, _, *fields, n, total, status, _ = now
+
+                def own():
+                    nonlocal now
+                    last = 0
+                    while (now := next(it, None)) is not None and now[2]:
+                        if now[1] != last:  # an equal repeat counts once
+                            yield now[-1]
+                        last = now[1]
+
+                mine = own()
+                out = one(fields, n, mine, total) if status == "ok" else (*fields, n, total, None, None, None, None, status)
+                for _ in mine:
+                    pass
+                yield out
+
+        yield from bounded(each())
+
+    return whole.unionByName(stream.mapInArrow(joined, ASSEMBLED))
 
 
 def page_digests(records: DataFrame) -> DataFrame:
@@ -232,9 +414,9 @@ def page_digests(records: DataFrame) -> DataFrame:
     have one row; a digest that a third of the records share is spread over several tasks. A revisit whose response
     isn't there has status missing_response.
     """
-    own = base32_sha1(F.col("payload"))
-    # both branches of the join below read the same records: they are kept so that the archives are parsed once
-    slim = saved(records.select("page", "refers_to_page", "warc_type", "target_uri", "status", F.when(F.col("warc_type") == "response", F.length("payload")).cast("long").alias("bytes"), F.when(F.col("warc_type") == "response", own).otherwise(F.col("payload_digest")).alias("digest")), "warc")
+    response = F.col("warc_type") == "response"
+    # both branches of the join below read the same records: they are kept so that they are decoded once
+    slim = saved(records.select("page", "refers_to_page", "warc_type", "target_uri", "status", F.when(response, F.col("payload_bytes")).alias("bytes"), F.when(response, F.col("payload_sha1")).otherwise(F.col("payload_digest")).alias("digest")), "warc")
     seen = slim.where("warc_type = 'response' and digest is not null").groupBy("digest").agg(F.max("bytes").alias("payload_bytes"))
     first = slim.where("warc_type <> 'revisit'").withColumn("payload_bytes", F.col("bytes"))
     again = slim.where("warc_type = 'revisit'").transform(lambda d: spread_join(d, seen, "digest", "page", "left")).withColumn("status", F.when(F.col("payload_bytes").isNull(), "missing_response").otherwise(F.col("status")))
@@ -243,9 +425,9 @@ def page_digests(records: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives in the shared folder, read back and reassembled."""
+    """Every page written to WARC archives in the shared folder, read back and reassembled; null html is an empty payload. Only lengths and digests are asked for, so payloads aren't kept."""
     path = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "archives"))
-    return page_digests(reassemble(read_archives(spark, path)))
+    return page_digests(reassemble(read_archives(spark, path), max_payload_bytes=0))
 
 
 OP1_SQL = """

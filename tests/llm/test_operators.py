@@ -1,8 +1,10 @@
 """Each operator against brute force on small tables with nulls, blanks, repeats and clashing columns, and on empty tables."""
 
 import base64
+import gzip
 import hashlib
 import inspect
+import io
 import math
 import re
 import zlib
@@ -102,8 +104,51 @@ def test_damaged_segments(spark):
     out = {r["record_id"]: (r["status"], r["payload"]) for r in warc.reassemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
     assert out["a"] == ("ok", b"abcd")
     assert {k: v[0] for k, v in out.items() if k != "a"} == {"b": "missing_segment", "c": "length_mismatch", "d": "conflicting_segment", "lost": "missing_segment"}
-    small = {r["record_id"]: r["status"] for r in warc.reassemble(spark.createDataFrame(rows[:2], warc.RECORDS), max_record_bytes=3).collect()}
-    assert small == {"a": "oversize"}
+    sha = base64.b32encode(hashlib.sha1(b"abcd").digest()).decode()
+    small = [(r["record_id"], r["status"], r["payload"], r["payload_bytes"], r["payload_sha1"]) for r in warc.reassemble(spark.createDataFrame([*rows[:2], rows[1]], warc.RECORDS), max_payload_bytes=3).collect()]
+    assert small == [("a", "ok", None, 4, sha)]
+    zero = [seg("f", 1, None, None, b"ab"), seg("g", 0, "f", None, b"x"), seg("g", 3, "f", 4, b"cd")]
+    assert [r["status"] for r in warc.reassemble(spark.createDataFrame(zero, warc.RECORDS)).collect()] == ["missing_segment"]
+
+
+_PARTS = st.lists(st.sampled_from([b"HTTP/1.1 200 OK\r\n", b"Transfer-Encoding: chunked\r\n", b"\r\n", b"\r", b"\n", b"3\r\nabc\r\n", b"0\r\n\r\n", b"x", b"WARC/1.1\r\n", b"HTT", b"5;q=1\r\n", b"hello"]), max_size=12)
+
+
+@given(_PARTS, st.lists(st.integers(0, 60), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_streams_decode_as_whole_blocks_do(parts, cuts):
+    block = b"".join(parts)
+    at = sorted({0, *(min(c, len(block)) for c in cuts), len(block)})
+    stream = warc.PayloadStream(1 << 20)
+    for i, j in zip(at, at[1:], strict=False):
+        stream.feed(block[i:j])
+    head, payload, n, sha, status = stream.end()
+    want = warc.decode_http(block)
+    assert (head, status) == (want[0], want[2])
+    assert (payload, n, sha) == ((want[1], len(want[1]), base64.b32encode(hashlib.sha1(want[1]).digest()).decode()) if status == "ok" else (None, None, None))
+
+
+@given(st.lists(_PARTS, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_pieces_parse_as_whole_archives_do(blocks):
+    blocks = [b"".join(x) for x in blocks]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n" for b in blocks)
+    pieces = data.split(b"\r\n\r\n")
+    assert [b for _, b in warc.parse_pieces(pieces if pieces[-1] else pieces[:-1])] == blocks == [b for _, b in warc.parse_archive(io.BytesIO(data))]
+
+
+def test_archives_of_each_kind_are_read(spark, tmp_path):
+    blocks = [b"a\r\n\r\nb", b"", b"\r\n" * 40_000, bytes(range(256)) * 900, b"x\r\n\r"]
+    records = [b"WARC/1.0\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n" % (i, len(b)) + b + b"\r\n\r\n" for i, b in enumerate(blocks)]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "zippedgz").write_bytes(gzip.compress(b"".join(records)))
+    got = Counter((r["record_id"], bytes(r["block"])) for r in warc.read_archives(spark, str(tmp_path)).collect())
+    assert got == Counter({(str(i), b): 4 for i, b in enumerate(blocks)})
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(records[0][:-8]))
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_archives(spark, str(tmp_path / "cut.warc.gz")).collect()
 
 
 # ---- 2 and 10
