@@ -25,7 +25,9 @@ def plain_bands(own: np.ndarray) -> np.ndarray:
     parts, first = np.unique(((own >> np.uint64(32)) * np.uint64(_PARTS)) >> np.uint64(32), return_index=True)
     low, has = np.zeros(_PARTS, np.uint64), np.zeros(_PARTS, bool)
     low[parts.astype(np.int64)], has[parts.astype(np.int64)] = own[first], True
-    low = low[_BORROW[np.arange(_PARTS), has[_BORROW].argmax(1)]].reshape(_PLAIN_BANDS, -1)
+    gaps = np.flatnonzero(~has)
+    low[gaps] = low[_BORROW[gaps, has[_BORROW[gaps]].argmax(1)]]
+    low = low.reshape(_PLAIN_BANDS, -1)
     h = mix(np.arange(1, _PLAIN_BANDS + 1, dtype=np.uint64))
     for j in range(low.shape[1]):
         h = mix(h ^ low[:, j])
@@ -123,13 +125,19 @@ class ConsistentSampler:
         cols, logs = np.arange(self.k), np.log(weights.astype(np.float64)).astype(np.float32)
         for at in range(0, len(elements), 1024):
             e = elements[at : at + 1024]
-            x = (e[:, None] ^ self.seeds) * np.uint64(0xD6E8FEB86659FD93)
+            x = e[:, None] ^ self.seeds
+            x *= np.uint64(0xD6E8FEB86659FD93)
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
             u = x.view("<u2").reshape(len(e), self.k, 4)
-            r, b = self.r[u[:, :, 3]], u[:, :, 1].astype(np.float32) * np.float32(1 / 65536)
-            t = np.floor(logs[at : at + 1024, None] / r + b)
-            a = self.log_c[u[:, :, 2]] - r * (t - b + 1)
+            r, b = self.r.take(u[:, :, 3]), u[:, :, 1] * np.float32(1 / 65536)
+            t = logs[at : at + 1024, None] / r
+            t += b
+            np.floor(t, out=t)
+            a = t - b
+            a += 1
+            a *= r
+            np.subtract(self.log_c.take(u[:, :, 2]), a, out=a)
             i = a.argmin(0)
             low = a[i, cols]
             less = low < best
@@ -211,20 +219,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fits = met.where(F.least("a_size", "b_size") >= (least - 1e-6) * F.greatest("a_size", "b_size")).select("a", "a_slots", "b", "b_slots")
         return fits.mapInArrow(kept, "a binary, b binary")
 
-    def fetched(keys: DataFrame) -> DataFrame:
-        """(key, t): one text for each key. The keys filter the documents as a set of known size or, beyond that, by a shuffle."""
-        keys = saved(keys, "keys")
-        few = F.broadcast(keys) if keys.count() <= 500_000 else keys
-        return saved(texts.select("key", "t").join(few, "key", "left_semi").dropDuplicates(["key"]), "fetched")
+    # one text for each key that shares a bucket, so that the documents are read for them once. The keys filter them as a set
+    # of known size or, beyond that, by a shuffle
+    keys = facts.select("key")
+    met = texts.select("key", "t").join(F.broadcast(keys) if keys.count() <= 500_000 else keys, "key", "left_semi")
+    fetched = saved(met.dropDuplicates(["key"]), "fetched")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are alike. Pairs are dealt to tiles by both keys, so that a text in many pairs travels to few."""
         pairs = saved(pairs, "pairs")
-        h = int(np.ceil((pairs.count() / 1000) ** 0.5)) or 1
+        n = pairs.count()
+        h = int(np.ceil(max(n / 1000, min(n / 20, 256)) ** 0.5)) or 1
         tile = (F.pmod(F.xxhash64("a"), F.lit(h)) * h + F.pmod(F.xxhash64("b"), F.lit(h))).cast("int").alias("tile")
         dealt = pairs.select("a", "b", tile)
         need = dealt.select("tile", F.col("a").alias("key")).unionByName(dealt.select("tile", F.col("b").alias("key"))).distinct()
-        sent = saved(need.join(fetched(need.select("key").distinct()), "key"), "sent")  # saved: its columns are then its own
+        sent = saved(need.join(fetched, "key"), "sent")  # saved: its columns are then its own
 
         def alike(pdf, sent):
             t = dict(zip(sent["key"], sent["t"], strict=True))
@@ -246,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         Those outside a bucket's largest class are held against all of it, in tiles of side rows a side, each with its texts;
         a pair is held in its first common band only, and only links leave a tile. No task gets more, however large a bucket is.
         """
-        whole = members.join(fetched(members.select("key").distinct()), "key").join(own.select("key", "size", "bands", "slots"), "key")
+        whole = members.join(fetched, "key").join(own.select("key", "size", "bands", "slots"), "key")
         deal = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30))
         nb, ns = F.ceil(F.col("n") / side).cast("int"), F.ceil(F.col("n_small") / side).cast("int")
         cols = ["b", "key", "c", "small", "size", "bands", "slots", "t"]
@@ -305,11 +314,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = open_.where(F.col("n") <= list_up_to)
     met = few.where("c <> top").select("b", F.col("key").alias("x"), F.col("c").alias("x_c")).join(few.select("b", F.col("key").alias("y"), F.col("c").alias("y_c")), "b").where("x_c <> y_c")
     more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(agree(more)))
+    found = verified(agree(more))
     many = open_.where(F.col("n") > list_up_to)
     if not many.isEmpty():
-        links = links.unionByName(tiled(many))
-    comps = saved(connected_components(links), "classes")
+        found = found.unionByName(tiled(many))
+    if not found.isEmpty():  # classes are components: the first ones stand for their links
+        comps = saved(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)), "classes")
     return all_rows.select("id", "key"), comps.select(F.col("node").alias("key"), F.col("component").alias("class_key"))
 
 
@@ -348,5 +358,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_classes of all documents: each row's class, its size, and whether the row is the one that stays. Texts without words stay."""
     out = near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
