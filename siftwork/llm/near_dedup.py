@@ -34,20 +34,70 @@ def plain_bands(own: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _counter_columns(counters: np.ndarray, n: int) -> list:
+    """(shard, pid, data) of a task's counters and, as the last shard, its n."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    pid = TaskContext.get().partitionId() % (1 << 18)
+    data = [*(zlib.compress(x.tobytes(), 1) for x in counters.reshape(_SHARDS, -1)), zlib.compress(np.array([n], "<i8").tobytes())]
+    return [pa.array(range(_SHARDS + 1), pa.int32()), pa.array([pid] * (_SHARDS + 1), pa.int32()), pa.array(data, pa.binary())]
+
+
+def _summed_counters(parts: DataFrame) -> tuple[np.ndarray, int]:
+    """The sums of the tasks' counters, added up in steps of bounded groups, and of n."""
+
+    def added(parts):
+        return zlib.compress(sum(np.frombuffer(zlib.decompress(x), "<i8") for x in parts).tobytes(), 1)
+
+    out, n = np.zeros((_SHARDS, (1 << _IDF_BITS) // _SHARDS), np.int64), 0
+    for r in merged_by_steps(parts, added).toLocalIterator():
+        got = np.frombuffer(zlib.decompress(bytes(r["data"])), "<i8")
+        if r["shard"] == _SHARDS:
+            n = int(got[0])
+        else:
+            out[r["shard"]] = got
+    return out.reshape(-1), n
+
+
 def hot_buckets(keyed: DataFrame, shingle: int) -> dict[int, tuple[bytes, int]]:
-    """The plain bands that more than one in 2,000 texts (key, t) share, 2,000 for each of 20 bands at most: the least key among those texts, and its rows."""
+    """The plain bands that more than one in 2,000 texts (key, t) share, 2,000 for each of 20 bands at most: the least key among those texts, and its rows.
+
+    Bands are first counted in 2^20 hashed counters, where chance gives a counter N / 50,000; only bands of counters that
+    have as many are shuffled, to be counted exactly.
+    """
     import pyarrow as pa
 
     def banded(batches):
+        counters, n = np.zeros(1 << _IDF_BITS, "<i8"), 0
         for batch in batches:
             own = [np.unique(ngram_hashes(word_hashes(t)[0], shingle)) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain_bands(x) if len(x) else None for x in own], pa.list_(pa.int64()))], ["key", "bands"])
+            bands = [plain_bands(x) if len(x) else None for x in own]
+            if some := [x for x in bands if x is not None]:
+                np.add.at(counters, np.concatenate(some).view(np.uint64) >> np.uint64(64 - _IDF_BITS), 1)
+                n += len(some)
+            blank = [pa.nulls(len(bands), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), *blank], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(_SHARDS + 1, pa.binary()), pa.nulls(_SHARDS + 1, pa.list_(pa.int64())), *_counter_columns(counters, n)], names)
+
+    names = ["key", "bands", "shard", "pid", "data"]
+    rows = saved(keyed.mapInArrow(banded, "key binary, bands array<long>, shard int, pid int, data binary"), "plain")
+    counters, n = _summed_counters(rows.where("shard is not null").select("shard", "pid", "data"))
+    most = max(1, n / 2000)
+    often = keyed.sparkSession.sparkContext.broadcast(np.packbits(counters > most))
+
+    def frequent(batches):
+        bits = np.unpackbits(often.value).view(bool)
+        for batch in batches:
+            b = batch.column(1).flatten().to_numpy()
+            hit = bits[b.view(np.uint64) >> np.uint64(64 - _IDF_BITS)]
+            row = np.repeat(np.arange(batch.num_rows), _PLAIN_BANDS)[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(b[hit])], ["key", "b"])
 
-    rows = saved(keyed.mapInArrow(banded, "key binary, bands array<long>").where("bands is not null"), "plain")
-    each = rows.select("key", F.explode("bands").alias("b"))
-    hot = each.groupBy("b").count().where(F.col("count") > max(1, rows.count() / 2000)).select("b")
-    least = each.join(F.broadcast(hot), "b").groupBy("b", "key").count().groupBy("b").agg(F.min(F.struct("key", "count")).alias("x"))
-    return {r["b"]: (bytes(r["x"]["key"]), r["x"]["count"]) for r in least.toLocalIterator()}
+    each = rows.where("bands is not null").select("key", "bands").mapInArrow(frequent, "key binary, b long")
+    each = saved(each.groupBy("b", "key").count(), "frequent")
+    hot = each.groupBy("b").agg(F.sum("count").alias("n"), F.min(F.struct("key", "count")).alias("x")).where(F.col("n") > most)
+    return {r["b"]: (bytes(r["x"]["key"]), r["x"]["count"]) for r in hot.toLocalIterator()}
 
 
 def shingle_idf(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
@@ -67,34 +117,21 @@ def shingle_idf(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     hot = docs.sparkSession.sparkContext.broadcast(hot_buckets(keyed, shingle))
 
     def counted(batches):
-        from pyspark import TaskContext
-
         df, n = np.zeros(1 << _IDF_BITS, "<i8"), 0
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 own = np.unique(ngram_hashes(word_hashes(t)[0], shingle))
-                met = [hot.value[b] for b in plain_bands(own).tolist() if b in hot.value] if len(own) else []
+                met = [hot.value[b] for b in plain_bands(own).tolist() if b in hot.value] if len(own) and hot.value else []
                 if not len(own) or any(least != key for least, _ in met):
                     continue
                 part = _ONE // met[0][1] if met else _ONE
                 df[np.unique(own >> np.uint64(64 - _IDF_BITS)).astype(np.int64)] += part
                 n += part
-        pid = TaskContext.get().partitionId() % (1 << 18)
-        data = [*(zlib.compress(x.tobytes(), 1) for x in df.reshape(_SHARDS, -1)), zlib.compress(np.array([n], "<i8").tobytes())]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SHARDS + 1), pa.int32()), pa.array([pid] * (_SHARDS + 1), pa.int32()), pa.array(data, pa.binary())], ["shard", "pid", "data"])
-
-    def added(parts):
-        return zlib.compress(sum(np.frombuffer(zlib.decompress(x), "<i8") for x in parts).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays(_counter_columns(df, n), ["shard", "pid", "data"])
 
-    parts = keyed.mapInArrow(counted, "shard int, pid int, data binary")
-    df, n = np.zeros((_SHARDS, (1 << _IDF_BITS) // _SHARDS)), 0
-    for r in merged_by_steps(parts, added).toLocalIterator():
-        got = np.frombuffer(zlib.decompress(bytes(r["data"])), "<i8")
-        if r["shard"] == _SHARDS:
-            n = int(got[0]) / _ONE
-        else:
-            df[r["shard"]] = got / _ONE
-    return np.log1p(max(n, 1) / np.maximum(df.reshape(-1), max(n / 500, 1))).astype(np.float32)
+    df, n = _summed_counters(keyed.mapInArrow(counted, "shard int, pid int, data binary"))
+    df, n = df / _ONE, n / _ONE
+    return np.log1p(max(n, 1) / np.maximum(df, max(n / 500, 1))).astype(np.float32)
 
 
 def weighted_shingles(text: bytes, idf: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
