@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -22,11 +24,26 @@ def parse_strict(text: str | None) -> tuple:
         return False, f"{type(e).__name__}", [], {}, {}, {}
     if not isinstance(got, dict):
         return False, f"Top-level JSON is {_NAMES[type(got)]}, expected object", [], {}, {}, {}
+    got = {_whole(k): _whole(v) if isinstance(v, str) else v for k, v in got.items()}
     return True, None, list(got), {k: v for k, v in got.items() if isinstance(v, str)}, {k: _NAMES[type(v)] for k, v in got.items()}, {k: len(v) for k, v in got.items() if isinstance(v, list)}
 
 
+def _whole(text: str) -> str:
+    r"""A text that can be stored: JSON may hold lone surrogates ("\ud800"), which have no UTF-8; each becomes a question mark."""
+    return text.encode("utf-8", "replace").decode()
+
+
 def strict_json(c: Column) -> Column:
-    return F.udf(parse_strict, STRICT, useArrow=True)(c)
+    """parse_strict of a text column, an Arrow batch at a time; bytes that aren't UTF-8 count as U+FFFD. A text met again in a batch isn't parsed again."""
+    kind = pa.struct([("ok", pa.bool_()), ("error", pa.string()), ("keys", pa.list_(pa.string())), ("scalars", pa.map_(pa.string(), pa.string())), ("kinds", pa.map_(pa.string(), pa.string())), ("sizes", pa.map_(pa.string(), pa.int32()))])
+
+    @F.arrow_udf(STRICT)
+    def parse(texts: pa.Array) -> pa.Array:
+        known = lru_cache(1024)(parse_strict)
+        rows = [known(None if x is None else x.decode("utf-8", "replace")) for x in texts.cast(pa.large_binary()).to_pylist()]
+        return pa.array([{"ok": ok, "error": e, "keys": keys, "scalars": list(s.items()), "kinds": list(k.items()), "sizes": list(n.items())} for ok, e, keys, s, k, n in rows], kind)
+
+    return parse(c)
 
 
 def quoted(c: Column) -> Column:
