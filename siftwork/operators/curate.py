@@ -19,15 +19,16 @@ def _bad_list(c: Column) -> Column:
     return c.isNull() | (F.size(c) == 0) | ~F.coalesce(F.forall(c, lambda x: ~is_blank(x)), F.lit(False))
 
 
-def schema_reasons(contract: RecordContract = DIAGNOSIS, expected: Column | None = None, codes: dict[str, str] | None = None) -> Column:
+def schema_reasons(contract: RecordContract = DIAGNOSIS, expected: Column | None = None, codes: dict[str, str] | None = None, both_missing: bool = False) -> Column:
     """Reason codes of a record with columns instruction, input and output; expected: the category its file should hold.
 
-    With no input or no output struct only that is reported beside the instruction. codes renames reasons.
+    With no input or no output struct only that is reported beside the instruction (with neither, input; both, if both_missing).
+    codes renames reasons.
     """
     named = lambda code: (codes or {}).get(code, code)
     has_in, has_out = F.col("input").isNotNull(), F.col("output").isNotNull()
     both = has_in & has_out
-    pairs = [(~F.coalesce(F.col("instruction") == contract.instruction, F.lit(False)), "schema.instruction"), (~has_in, "schema.input"), (has_in & ~has_out, "schema.output")]
+    pairs = [(~F.coalesce(F.col("instruction") == contract.instruction, F.lit(False)), "schema.instruction"), (~has_in, "schema.input"), (~has_out if both_missing else has_in & ~has_out, "schema.output")]
     pairs += [(both & is_blank(F.col(f"input.{k}")), f"schema.input.{k}") for k in contract.inputs]
     pairs += [(both & ~F.coalesce(F.col(f"output.{k}").isin(*v), F.lit(False)), f"schema.output.{k}") for k, v in contract.enums.items()]
     pairs += [(both & is_blank(F.col(f"output.{k}")), f"schema.output.{k}") for k in contract.texts]
@@ -37,6 +38,11 @@ def schema_reasons(contract: RecordContract = DIAGNOSIS, expected: Column | None
     return reasons_array(*[(c, named(code)) for c, code in pairs])
 
 
+def sample_reasons(contract: RecordContract = DIAGNOSIS) -> Column:
+    """schema_reasons in the words used for samples that a model has made."""
+    return schema_reasons(contract, codes=K.SAMPLE_CODES, both_missing=True)
+
+
 def deny_reasons(text: Column, rules=K.DENY_LIST) -> Column:
     return reasons_array(*[(contains_any(text, needles), code) for code, needles in rules])
 
@@ -65,9 +71,20 @@ def route(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.size("reasons") == 0).drop("reasons"), df.where(F.size("reasons") > 0)
 
 
-def reason_counts(df: DataFrame) -> DataFrame:
-    """(reason, n) over distinct reasons of each row."""
-    return df.select(F.explode(F.array_distinct("reasons")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+def reason_counts(df: DataFrame, top: int | None = None) -> DataFrame:
+    """(reason, n) over distinct reasons of each row; the top commonest, ties by name, if top is given."""
+    out = df.select(F.explode(F.array_distinct("reasons")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return out if top is None else out.orderBy(F.desc("n"), "reason").limit(top)
+
+
+def field_counts(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows for each combination of keys and for each leading part of them, all rows last; all_<key> is 1 where a key is summed over."""
+    return df.rollup(*keys).agg(F.count("*").alias("n"), *[F.grouping(k).cast("int").alias(f"all_{k}") for k in keys])
+
+
+def histogram(df: DataFrame, key: str = "score") -> DataFrame:
+    """(key, n), in falling order of key."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc(key))
 
 
 def keep_counts(df: DataFrame, by: Column) -> DataFrame:
@@ -142,7 +159,31 @@ def duplicate_keys(df: DataFrame, keys: list[str], k: int = 1) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > k)
 
 
-def chunked(df: DataFrame, order: list[str], size: int, parts: int = 1) -> DataFrame:
-    """df with chunk, the 0-based number of its chunk of size rows in that order. parts > 1 numbers within parts of the first order column's hash instead of all rows at once."""
-    part = F.pmod(F.xxhash64(order[0]), F.lit(parts))
-    return df.withColumn("chunk_part", part).withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("chunk_part").orderBy(*order)) - 1) / size)).drop(*(["chunk_part"] if parts == 1 else []))
+def numbered(df: DataFrame, order: list, name: str = "ordinal", start: int = 0) -> DataFrame:
+    """df with name, each row's place in that order from start on, without all rows in one task: rows are sorted by ranges and
+    written, and a place is the rows of the ranges before it (a row a range) and the place within its own."""
+    from ..sources.sinks import scratch
+
+    spark, path = df.sparkSession, scratch(df.sparkSession, "sorted")
+    df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(bases), "_range").withColumn(name, F.col("_base") + F.col("_place") + start).drop("_range", "_place", "_base")
+
+
+def chunked(df: DataFrame, order: list[str], size: int, by: list[str] | None = None) -> DataFrame:
+    """df with chunk, the 0-based number of its chunk of size rows in that order: of all rows, or of those of each key by."""
+    if by:
+        return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))
+    return numbered(df, order, "_ordinal").withColumn("chunk", F.floor(F.col("_ordinal") / size)).drop("_ordinal")
+
+
+def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a's rows whose key b has too."""
+    return a.join(b.select(key).distinct(), key, "left_semi")
+
+
+def manifest(df: DataFrame, distinct: list[str], sums: list[str]) -> DataFrame:
+    """One row: n_rows, how many values each of distinct has, and the sum of each of sums."""
+    return df.agg(F.count("*").alias("n_rows"), *[F.countDistinct(c).alias(f"n_{c}s") for c in distinct], *[F.sum(c).alias(c) for c in sums])

@@ -39,10 +39,10 @@ def rule_metrics(df: DataFrame, output: str = "raw_output", reference: str | Non
 
 
 def metric_summary(df: DataFrame, by: str = "variant", flags=FLAGS, optional=("category_matches_reference", "severity_matches_reference")) -> DataFrame:
-    """A row for each variant and metric: passed, of (rows; for optional ones those that aren't null) and rate to four places."""
+    """A row for each variant and metric: passed, of (rows; for optional ones those that aren't null) and rate to four places (ties to the even digit)."""
     items = [F.struct(F.lit(k).alias("metric"), F.coalesce(F.col(f"metrics.{k}"), F.lit(False)).alias("v")) for k in flags] + [F.struct(F.lit(k).alias("metric"), F.col(f"metrics.{k}").alias("v")) for k in optional]
     t = df.select(by, F.explode(F.array(*items)).alias("x")).groupBy(by, "x.metric").agg(F.count_if("x.v").alias("passed"), F.count("x.v").alias("of"))
-    return t.withColumn("rate", F.when(F.col("of") > 0, F.round(F.col("passed") / F.col("of"), 4)))
+    return t.withColumn("rate", F.when(F.col("of") > 0, F.bround(F.col("passed") / F.col("of"), 4)))
 
 
 def number_stats(df: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -97,6 +97,32 @@ def judge_summary(df: DataFrame) -> DataFrame:
     return t.withColumns({"a_rate": F.when(F.col("n_usable") > 0, F.col("n_a") / F.col("n_usable")), "b_rate": F.when(F.col("n_usable") > 0, F.col("n_b") / F.col("n_usable"))})
 
 
+def judge_counts(df: DataFrame, label_a: str, label_b: str) -> DataFrame:
+    """(kind, value, n): rows by judge_source (source), by winner, and wins under the sides' labels (wins; ties under tie), also those of none."""
+    label = F.when(F.col("winner") == "A", label_a).when(F.col("winner") == "B", label_b).when(F.col("winner") == "tie", "tie")
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in (("source", F.col("judge_source")), ("winner", F.col("winner")), ("wins", label))])).alias("x")).select("x.*")
+    known = df.sparkSession.createDataFrame([("wins", label_a, 0), ("wins", label_b, 0), ("wins", "tie", 0)], "kind string, value string, one int")
+    return each.where("value is not null").withColumn("one", F.lit(1)).unionByName(known).groupBy("kind", "value").agg(F.sum("one").alias("n"))
+
+
+def judged_flags(df: DataFrame) -> DataFrame:
+    """df with usable_for_dpo (a side has won) and high_confidence_for_dpo; false where there is no winner."""
+    usable = F.coalesce(F.col("winner").isin("A", "B"), F.lit(False))
+    return df.withColumns({"usable_for_dpo": usable, "high_confidence_for_dpo": usable & F.coalesce(F.col("winner_confidence") == "high", F.lit(False))})
+
+
+#: A judged row's fields, in order.
+JUDGED = ("sample_id", "judge_source", "winner", "winner_confidence", "dimension_winners", "dimension_scores", "overall_scores", "reason", "used_reference", "candidate_a_label", "candidate_b_label", "candidate_a_output", "candidate_b_output", "reference_output", "raw_response_id", "usable_for_dpo", "high_confidence_for_dpo")
+
+
+def judged_rows(df: DataFrame, use_reference: bool = False) -> DataFrame:
+    """What judge_pairs gives in the fixed shape of JUDGED; reference_output is null unless the judge was shown it, raw_response_id if the client gave none."""
+    named = df.withColumnsRenamed({"source": "judge_source", **{f"{s}_{c}": f"candidate_{s}_{c}" for s in "ab" for c in ("label", "output")}})
+    own = F.col("raw_response_id") if "raw_response_id" in df.columns else F.lit(None).cast("string")
+    reference = F.col("reference_output") if use_reference else F.lit(None).cast("string")
+    return judged_flags(named).withColumns({"used_reference": F.lit(use_reference), "reference_output": reference, "raw_response_id": own}).select(*JUDGED)
+
+
 def dimension_stats(df: DataFrame, winners: str = "dimension_winners", scores: str = "dimension_scores") -> DataFrame:
     """For each dimension: wins of each side, ties, and mean scores and their difference where both are there."""
     t = df.select(F.explode(F.map_entries(winners)).alias("w"), F.col(scores).alias("s")).select(F.col("w.key").alias("dimension"), F.col("w.value").alias("won"), F.try_element_at("s", F.col("w.key")).alias("s"))
@@ -141,12 +167,11 @@ def restore_prompts(judged: DataFrame, prompts: DataFrame, key: str = "sample_id
 
 def judge_prompt(use_reference: bool = False) -> Column:
     """The text shown to a judge, from columns sample_id, system, prompt, a_label, a_output, b_label, b_output and reference_output."""
-    system = F.coalesce(F.nullif(F.col("system"), F.lit("")), F.lit("(none)"))
-    parts = [F.concat(F.lit("Sample ID: "), F.col("sample_id")), F.concat(F.lit("System prompt: "), system), F.lit("Task input:"), F.col("prompt"), F.lit(""), F.concat(F.lit("Candidate A ("), F.col("a_label"), F.lit("):")), F.col("a_output"), F.lit(""), F.concat(F.lit("Candidate B ("), F.col("b_label"), F.lit("):")), F.col("b_output")]
+    system = F.coalesce(F.nullif(F.col("system"), F.lit("")), F.lit(K.JUDGE_NO_SYSTEM))
+    side = lambda s: F.concat(F.lit(f"{K.JUDGE_CANDIDATE} {s.upper()} ("), F.col(f"{s}_label"), F.lit("):"))
+    parts = [F.concat(F.lit(K.JUDGE_SAMPLE), F.col("sample_id")), F.concat(F.lit(K.JUDGE_SYSTEM), system), F.lit(K.JUDGE_TASK), F.col("prompt"), F.lit(""), side("a"), F.col("a_output"), F.lit(""), side("b"), F.col("b_output")]
     text = F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts])
     if use_reference:
-        text = F.concat_ws("\n\n", text, F.concat(F.lit("Reference output (for calibration only, do not require exact wording match):\n"), F.col("reference_output")))
+        text = F.concat_ws("\n\n", text, F.concat(F.lit(K.JUDGE_REFERENCE + "\n"), F.nullif(F.col("reference_output"), F.lit(""))))
     return text
 
-
-DIMENSION_NAMES = K.DIMENSIONS

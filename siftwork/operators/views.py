@@ -25,6 +25,16 @@ def override_prompt(df: DataFrame, system: str = K.STRICT_SYSTEM, instruction: s
     return df.withColumns({"instruction": F.lit(instruction), "system": F.lit(system)})
 
 
+def keep_fields(df: DataFrame, fields: tuple[str, ...] = K.RECORD_FIELDS) -> DataFrame:
+    """A record's own fields alone, without lineage or scores."""
+    return df.select(*fields)
+
+
+def drop_internal(df: DataFrame, prefix: str = "_") -> DataFrame:
+    """df without the columns whose names begin with prefix."""
+    return df.select(*[c for c in df.columns if not c.startswith(prefix)])
+
+
 def union_ordered(*frames: DataFrame) -> DataFrame:
     """All rows, with union_idx, the place of their frame."""
     out = None
@@ -50,10 +60,12 @@ def hash_split(df: DataFrame, key: Column, eval_share: int, parts: int = 1000, s
 def exact_split(df: DataFrame, ordinal: str, n: int, eval_count: int, smoke_count: int, seed: int = 42) -> DataFrame:
     """df with split and smoke as a seeded shuffle of n 0-based ordinals gives them: eval first, the rest train, smoke the first of train.
 
-    For small sets: the permutation is made on the driver. Counts must leave rows for train.
+    For sets of up to 1,000,000 rows, as the permutation is made on the driver; hash_split serves larger ones. Counts must leave rows for train.
     """
-    if not (0 < eval_count < n and 0 < smoke_count <= n - eval_count) or n > 1_000_000:
+    if not (0 < eval_count < n and 0 < smoke_count <= n - eval_count):
         raise ValueError("bad counts")
+    if n > 1_000_000:
+        raise ValueError("too many rows for a shuffle on the driver; hash_split serves them")
     order = list(range(n))
     random.Random(seed).shuffle(order)
     table = df.sparkSession.createDataFrame([(o, i) for i, o in enumerate(order)], "split_ord long, rank long")
@@ -68,6 +80,19 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n).orderBy(key)
 
 
+def exact_sample(df: DataFrame, ordinal: str, n: int, most: int, key: str = "sample_id", seed: int = 42) -> DataFrame:
+    """most of n rows with 0-based ordinals as a seeded sample without replacement draws them, in order of key; all, as they come, if most <= 0 or n <= most.
+
+    The draw is made on the driver, so most is 1,000,000 at most; sample_rows serves larger ones.
+    """
+    if most <= 0 or n <= most:
+        return df
+    if most > 1_000_000:
+        raise ValueError("too many rows for a draw on the driver; sample_rows serves them")
+    drawn = df.sparkSession.createDataFrame([(i,) for i in random.Random(seed).sample(range(n), most)], "drawn_ord long")
+    return df.join(F.broadcast(drawn), F.col(ordinal) == F.col("drawn_ord")).drop("drawn_ord").orderBy(key)
+
+
 def turns_to_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, turn, instruction, output, system): each user turn with the assistant turn right after it, and the conversation's first system text."""
     from pyspark.sql import Window

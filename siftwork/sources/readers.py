@@ -6,10 +6,11 @@ import os
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, ordinal_id, strip
+from ..operators.curate import numbered
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -77,9 +78,7 @@ def read_seeds(records: DataFrame, order: list[str], category: str | None = None
     """Records of a category, the first most of them, then numbered from 0 as seed_id."""
     if category:
         records = records.where(F.col("output.category") == category)
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    out = records.withColumn("seed_id", n)
-    return out.where(F.col("seed_id") < most) if most > 0 else out
+    return numbered(records.orderBy(*order).limit(most) if most > 0 else records, order, "seed_id")
 
 
 def with_sample_ids(df: DataFrame, ordinal: str, prefix: str = "train") -> DataFrame:

@@ -27,6 +27,24 @@ def first_seen(stream: DataFrame, keys: list[str], time_col: str, delay: str) ->
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_k(stream: DataFrame, key: str, order: str, k: int) -> DataFrame:
+    """The first k rows of each key as they arrive, those of one batch by order; at least one. State is a count for each key. Null keys go.
+
+    Written in append mode; the columns are the stream's.
+    """
+    most = max(1, k)
+
+    def run(keys, frames, state):
+        import pandas as pd
+
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(order).head(max(0, most - seen))
+        state.update((seen + len(rows),))
+        yield rows
+
+    return stream.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(run, stream.schema, "n long", "append", "NoTimeout")
+
+
 def smallest_group(counts: DataFrame, group: str, names: list[str]) -> DataFrame:
     """(group, n): the group with the fewest rows, of names; ties go to the first in that order, and names without rows have none."""
     table = F.array(*map(F.lit, names))
