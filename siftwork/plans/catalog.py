@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import random
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contracts as K
@@ -10,6 +12,7 @@ from ..functions import text as T
 from ..functions.jsonx import array_literal, pretty
 from ..operators import curate as C
 from ..operators import evaluate as E
+from ..operators import generate as G
 from ..operators import repair as R
 from ..operators import views as V
 from ..sources.readers import read_jsonl, with_sample_ids
@@ -101,6 +104,11 @@ def reject_reason_counts(spark, d):
     return C.reason_counts(_reasons(spark, d))
 
 
+@query(f"with {_REASONS} select unnest(reasons) as reason, count(*) as n from r group by 1 order by n desc, reason limit 3")
+def commonest_reasons(spark, d):
+    return C.reason_counts(_reasons(spark, d), 3)
+
+
 @query(f"with {_REASONS} select lang as grp, count(*) filter (len(reasons) = 0) as n_kept, count(*) filter (len(reasons) > 0) as n_rejected, count(*) as n_rows, grouping(lang)::int as is_total from r group by rollup(lang)")
 def keep_reject_by_lang(spark, d):
     return C.keep_counts(_reasons(spark, d), F.col("lang"))
@@ -139,7 +147,7 @@ def score_rules(spark, d):
 
 @query(f"select {_SCORE} as score, count(*) as n from documents group by 1")
 def score_histogram(spark, d):
-    return _score(table(spark, d, "documents")).groupBy("score").agg(F.count("*").alias("n"))
+    return C.histogram(_score(table(spark, d, "documents")))
 
 
 # ---- text and JSON functions
@@ -159,10 +167,15 @@ def phrase_rewrite(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.rewrite(F.col("text"), (("the", "THE"), ("THE of", "of")))).alias("rewritten_md5"))
 
 
-@query("select doc_id, md5('lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || 'text:' || chr(10) || text) as flat_md5 from documents")
+@query("select doc_id, md5('用户问题: ' || lang || chr(10) || '环境: ' || source || chr(10) || '命令: ' || chr(10) || '日志:' || chr(10) || text) as flat_md5 from documents")
 def flatten_labelled(spark, d):
-    c = [F.concat(F.lit(f"{k}: "), F.col(k)) for k in ("lang", "source")]
-    return table(spark, d, "documents").select("doc_id", F.md5(T.flatten(*c, F.concat(F.lit("text:\n"), F.col("text")))).alias("flat_md5"))
+    task = F.struct(F.col("lang").alias("user_question"), F.col("source").alias("environment"), F.lit(None).cast("string").alias("command"), F.col("text").alias("log"))
+    return table(spark, d, "documents").withColumn("input", task).select("doc_id", F.md5(V.labelled_input()).alias("flat_md5"))
+
+
+@query("select doc_id, md5(lang || chr(10) || source || chr(10) || text || chr(10) || 'a' || chr(10) || 'b') as flat_md5 from documents")
+def flatten_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.flatten(F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.col("text"), F.array(F.lit("a"), F.lit("b")))).alias("flat_md5"))
 
 
 @query("select event_type, count(json_extract(props, '$.k')) as n, sum(json_extract_string(props, '$.k')::bigint)::bigint as k_sum, max(json_extract_string(props, '$.k')::bigint) as k_max from events group by event_type")
@@ -208,7 +221,7 @@ def union_with_handpicked(spark, d):
 
 @query("with n as (select *, row_number() over (order by item_id) as ord from benchmark) select item_id, (p - 1)::bigint as pick from n join (select unnest([3, 1, 7]) as pos, unnest([1, 2, 3]) as p) on ord = pos")
 def pick_positions(spark, d):
-    b = table(spark, d, "benchmark").withColumn("ord", F.row_number().over(Window.orderBy("item_id")))
+    b = C.numbered(table(spark, d, "benchmark"), ["item_id"], "ord", 1)
     return V.pick_by_position(b, "ord", (3, 1, 7)).select("item_id", "pick")
 
 
@@ -219,7 +232,7 @@ def category_distribution(spark, d):
 
 @query("select count(*) as n_rows, count(distinct source) as n_sources, sum(n_chars)::bigint as n_chars, count(distinct lang) as n_langs from documents")
 def dataset_manifest(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"), F.countDistinct("lang").alias("n_langs"))
+    return C.manifest(table(spark, d, "documents"), ["source", "lang"], ["n_chars"])
 
 
 _SPLIT = "s as (select doc_id, case when (((doc_id + 42) * 2654435761) % 1000003) % 1000 < 110 then 'eval' else 'train' end as split from documents)"
@@ -242,8 +255,40 @@ def smoke_subset(spark, d):
 
 @query("select event_id, ((row_number() over (partition by user_id order by event_id)) - 1) // 8 as chunk from events")
 def chunks_per_user(spark, d):
-    t = table(spark, d, "events").withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 8))
-    return t.select("event_id", "chunk")
+    return C.chunked(table(spark, d, "events"), ["event_id"], 8, by=["user_id"]).select("event_id", "chunk")
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // 32 as chunk from documents")
+def chunks_of_all(spark, d):
+    return C.chunked(table(spark, d, "documents").select("doc_id"), ["doc_id"], 32)
+
+
+@query("select doc_id, row_number() over (order by source, lang desc, doc_id) - 1 as place from documents")
+def sorted_places(spark, d):
+    """A total order over all rows, numbered range by range."""
+    return C.numbered(table(spark, d, "documents").select("doc_id", "source", "lang"), [F.col("source"), F.desc("lang"), F.col("doc_id")], "place").select("doc_id", "place")
+
+
+@query("select sample_id, row_number() over (order by sample_id) as place from (select 'train_' || case when doc_id between 0 and 999 then lpad(doc_id::varchar, 3, '0') else doc_id::varchar end as sample_id from documents)")
+def sorted_ids(spark, d):
+    """Ids in the order of their text: train_1000 comes before train_999."""
+    return C.numbered(with_sample_ids(table(spark, d, "documents").select("doc_id"), "doc_id").select("sample_id"), ["sample_id"], "place", 1)
+
+
+_SHUFFLED = random.Random(42)
+_ORDER = list(range(60))
+_SHUFFLED.shuffle(_ORDER)
+
+
+@query("select * from (values " + ", ".join(f"({o}::bigint, '{'eval' if i < 10 else 'train'}', {10 <= i < 18})" for i, o in enumerate(_ORDER)) + ") v(id, split, smoke)")
+def seeded_split(spark, d):
+    """What a seeded shuffle of 60 rows gives: eval first, the rest train, smoke the first of train."""
+    return V.exact_split(spark.range(60), "id", 60, 10, 8).select("id", "split", "smoke")
+
+
+@query("select unnest([" + ", ".join(map(str, random.Random(42).sample(range(500), 25))) + "])::bigint as id")
+def seeded_sample(spark, d):
+    return V.exact_sample(spark.range(500), "id", 500, 25, key="id")
 
 
 # ---- rule metrics and pairwise judging: documents as model outputs, even and odd ids as sides A and B
@@ -252,34 +297,43 @@ def chunks_per_user(spark, d):
 def _outputs(spark, d):
     docs = table(spark, d, "documents")
     cat = F.element_at(F.array(F.lit("data"), F.lit("training"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int"))
-    raw = F.concat(F.lit('{"category": "'), cat, F.lit('", "severity": "high", "summary": "s", "root_cause": "'), F.col("source"), F.lit('", "missing_info": ["m"], "next_steps": ["n"]'), F.when(F.col("doc_id") % 5 == 0, ', "extra": 1').otherwise(""), F.when(F.col("doc_id") % 7 == 0, "").otherwise("}"))
-    return docs.select("doc_id", F.col("lang").alias("variant"), raw.alias("raw_output"), F.lit('{"category": "data", "severity": "high"}').alias("ref"), F.length("text").alias("length"))
+    every = lambda n, yes, no: F.when(F.col("doc_id") % n == 0, yes).otherwise(no)
+    raw = F.concat(
+        F.lit('{"category": "'), cat, F.lit('", "severity": "high", "summary": "'), every(11, "\\ud800", every(8, "  ", "s")), F.lit('", "root_cause": "'), F.col("source"), F.lit('", "missing_info": ['),
+        every(9, "", '"m"'), F.lit('], "next_steps": ["n"]'), every(5, ', "extra": 1', ""), every(13, ', "x": NaN', ""), every(7, "", "}"),
+    )
+    ref = every(17, F.lit("none"), F.concat(F.lit('{"category": "'), F.element_at(F.array(F.lit("data"), F.lit("training")), (F.col("doc_id") % 2 + 1).cast("int")), F.lit('"}')))
+    return docs.select("doc_id", F.col("lang").alias("variant"), raw.alias("raw_output"), ref.alias("ref"), F.length("text").alias("length"))
 
 
-_M = "m as (select doc_id, lang as variant, doc_id % 7 <> 0 as ok, doc_id % 5 = 0 as extra, doc_id % 3 as c, length(text) as length from documents)"
+_M = """m0 as (select doc_id, lang as variant, doc_id % 7 <> 0 as ok, doc_id % 5 = 0 or doc_id % 13 = 0 as extra, ['data', 'training', 'other'][doc_id % 3 + 1] as cat, case when doc_id % 17 <> 0 then ['data', 'training'][doc_id % 2 + 1] end as ref,
+case when doc_id % 11 = 0 then '\\ud800' when doc_id % 8 = 0 then '  ' else 's' end as summary, source, doc_id % 9 <> 0 as listed,
+'{"category": "' || cat || '", "severity": "high", "summary": "' || summary || '", "root_cause": "' || source || '", "missing_info": [' || case when listed then '"m"' else '' end || '], "next_steps": ["n"]' || case when doc_id % 5 = 0 then ', "extra": 1' else '' end || case when doc_id % 13 = 0 then ', "x": NaN' else '' end as raw from documents),
+m as (select *, ok and not extra and cat <> 'other' and trim(summary) <> '' and trim(source) <> '' and listed as valid, case when ok then cat = ref end as same from m0)"""
 
 
-@query(f"with {_M} select doc_id, ok as json_parse_success, ok as required_fields_present, ok and not extra as no_extra_top_level_fields, ok and c < 2 as category_enum_valid, ok and not extra and c < 2 as schema_valid, case when ok then c = 0 end as category_matches_reference from m")
+@query(f"""with {_M} select doc_id, ok as json_parse_success, ok as required_fields_present, ok and not extra as no_extra_top_level_fields, ok and cat <> 'other' as category_enum_valid, ok as severity_enum_valid, ok and trim(summary) <> '' as summary_nonempty,
+ok and trim(source) <> '' as root_cause_nonempty, ok and listed as missing_info_is_nonempty_list, ok as next_steps_is_nonempty_list, valid as schema_valid, same as category_matches_reference, case when ok and ref is not null then false end as severity_matches_reference,
+case when not ok then 'Expecting '','' delimiter at line 1 column ' || length(raw) + 1 end as parse_error from m""")
 def rule_metrics(spark, d):
-    t = E.rule_metrics(_outputs(spark, d), reference="ref")
-    return t.select("doc_id", *[F.col(f"metrics.{k}").alias(k) for k in ("json_parse_success", "required_fields_present", "no_extra_top_level_fields", "category_enum_valid", "schema_valid", "category_matches_reference")])
+    """All flags over outputs that are cut short, have more or empty fields, NaN, or half a surrogate pair."""
+    return E.rule_metrics(_outputs(spark, d), reference="ref").select("doc_id", "metrics.*")
 
 
-@query(f"""with {_M}, x as (select variant, unnest(['json_parse_success', 'schema_valid', 'category_matches_reference']) as metric, unnest([ok, ok and not extra and c < 2, case when ok then c = 0 end]) as v from m)
-select variant, metric, count(*) filter (v) as passed, count(v) as of from x group by variant, metric""")
+@query(f"""with {_M}, x as (select variant, unnest(['json_parse_success', 'schema_valid', 'category_matches_reference']) as metric, unnest([ok, valid, same]) as v from m)
+select variant, metric, count(*) filter (v) as passed, count(v) as of, case when count(v) > 0 then round_even(count(*) filter (v) / count(v)::double, 4) end as rate from x group by variant, metric""")
 def metric_summary(spark, d):
-    t = E.metric_summary(E.rule_metrics(_outputs(spark, d), reference="ref"), flags=("json_parse_success", "schema_valid"), optional=("category_matches_reference",))
-    return t.drop("rate")
+    return E.metric_summary(E.rule_metrics(_outputs(spark, d), reference="ref"), flags=("json_parse_success", "schema_valid"), optional=("category_matches_reference",))
 
 
-@query(f"with {_M} select variant, string_agg(doc_id::varchar, ',' order by doc_id) as ids from m where not (ok and not extra and c < 2) group by variant")
+@query(f"with {_M} select variant, string_agg(doc_id::varchar, ',' order by doc_id) as ids from m where not valid group by variant")
 def failing_ids(spark, d):
     return E.failing_ids(E.rule_metrics(_outputs(spark, d)), F.col("metrics.schema_valid"), "doc_id", "variant")
 
 
-@query("select lang, min(n_chars) as least, max(n_chars) as most, count(n_chars) as n from documents group by lang")
+@query("select lang, avg(n_chars) as mean, min(n_chars) as least, max(n_chars) as most, count(n_chars) as n from documents where n_chars is not null group by lang")
 def length_stats(spark, d):
-    return E.number_stats(table(spark, d, "documents"), ["lang"], "n_chars").drop("mean")
+    return E.number_stats(table(spark, d, "documents"), ["lang"], "n_chars")
 
 
 @query("select event_type as value, count(*) as n from events where event_type is not null group by 1")
@@ -319,9 +373,20 @@ def schema_gate(spark, d):
     return _sides(spark, d).select("sample_id", E.schema_gate(F.col("a.valid"), F.col("b.valid"))[0].alias("winner"))
 
 
-@query(f"with {_J} select count(*) as n, count(*) filter (winner = 'A') as n_a, count(*) filter (winner = 'B') as n_b, count(*) filter (winner = 'tie') as n_tie, count(*) filter (winner <> 'tie') as n_usable, count(*) filter (winner <> 'tie' and winner_confidence = 'high') as n_high from j")
+@query(f"with {_J} select count(*) as n, count(*) filter (winner = 'A') as n_a, count(*) filter (winner = 'B') as n_b, count(*) filter (winner = 'tie') as n_tie, count(*) filter (winner <> 'tie') as n_usable, count(*) filter (winner <> 'tie' and winner_confidence = 'high') as n_high, count(*) filter (winner = 'A')::double / count(*) filter (winner <> 'tie') as a_rate, count(*) filter (winner = 'B')::double / count(*) filter (winner <> 'tie') as b_rate from j")
 def judge_summary(spark, d):
-    return E.judge_summary(_judged(spark, d)).drop("a_rate", "b_rate")
+    return E.judge_summary(_judged(spark, d))
+
+
+@query(f"""with {_J}, x as (select unnest(['source', 'winner', 'wins']) as kind, unnest([case when av and bv then 'judge' else 'schema_gate' end, winner, case winner when 'A' then 'even' when 'B' then 'odd' else 'tie' end]) as value, 1 as one from j
+union all select 'wins', unnest(['even', 'odd', 'tie']), 0) select kind, value, sum(one)::bigint as n from x group by kind, value""")
+def judge_breakdown(spark, d):
+    return E.judge_counts(_judged(spark, d), "even", "odd")
+
+
+@query(f"with {_J} select sample_id, winner <> 'tie' as usable_for_dpo, winner <> 'tie' and winner_confidence = 'high' as high_confidence_for_dpo from j")
+def judged_flags(spark, d):
+    return E.judged_flags(_judged(spark, d)).select("sample_id", "usable_for_dpo", "high_confidence_for_dpo")
 
 
 @query(f"with {_J} select count(*) filter (winner = 'A')::double / count(*) filter (winner <> 'tie') as a_rate, count(*) filter (winner = 'B')::double / count(*) filter (winner <> 'tie') as b_rate from j")
@@ -330,20 +395,28 @@ def win_rate_excl_ties(spark, d):
 
 
 @query(f"""with {_J}, x as (select unnest(['actionability', 'root_cause_quality']) as dimension, unnest([winner, 'tie']) as won, a_score, b_score from j)
-select dimension, count(*) filter (won = 'A') as n_a, count(*) filter (won = 'B') as n_b, count(*) filter (won = 'tie') as n_tie, sum(a_score)::bigint as a_sum, sum(b_score)::bigint as b_sum, count(*) as n_scored from x group by dimension""")
+select dimension, count(*) filter (won = 'A') as n_a, count(*) filter (won = 'B') as n_b, count(*) filter (won = 'tie') as n_tie, sum(a_score)::bigint as a_sum, sum(b_score)::bigint as b_sum, count(*) as n_scored, avg(b_score - a_score) as delta from x group by dimension""")
 def dimension_stats(spark, d):
-    return E.dimension_stats(_judged(spark, d)).drop("delta")
+    return E.dimension_stats(_judged(spark, d))
 
 
-@query(f"""with {_J} select sample_id, case winner when 'A' then 'B' when 'B' then 'A' else winner end as winner, b_score as a_score, a_score as b_score from j""")
+@query(f"""with {_J}, t as (select *, case winner when 'A' then 'B' when 'B' then 'A' else winner end as w from j)
+select sample_id, w as winner, b_score as a_score, a_score as b_score, w as own_dimension, 'tie' as tied_dimension, b_score as a_dimension, a_score as b_dimension from t""")
 def swapped_back(spark, d):
     t = E.swap_sides(_judged(spark, d), F.lit(True))
-    return t.select("sample_id", "winner", F.col("overall_scores.A_score").alias("a_score"), F.col("overall_scores.B_score").alias("b_score"))
+    score = lambda s: F.element_at("dimension_scores", F.lit("actionability"))[f"{s}_score"]
+    return t.select(
+        "sample_id", "winner", F.col("overall_scores.A_score").alias("a_score"), F.col("overall_scores.B_score").alias("b_score"), F.element_at("dimension_winners", F.lit("actionability")).alias("own_dimension"),
+        F.element_at("dimension_winners", F.lit("root_cause_quality")).alias("tied_dimension"), score("A").alias("a_dimension"), score("B").alias("b_dimension"),
+    )
 
 
-@query(f"with {_P} select count(*) as n, count(*) filter (av is not distinct from bv) as same_valid, count(*) filter (al is not distinct from bl) as same_lang from p")
+@query(f"""with {_P} select count(*) as n, count(*) filter (av is not distinct from bv) as same_valid, count(*) filter (al is not distinct from bl) as same_lang, avg(an) as a_elapsed, avg(bn) as b_elapsed, avg(bn - an) as elapsed_delta,
+avg(coalesce(case when an % 4 > 0 then an end, 0)) as a_length, avg(coalesce(case when bn % 4 > 0 then bn end, 0)) as b_length from p""")
 def backend_compare(spark, d):
-    return E.compare_backends(_sides(spark, d), ["valid", "lang"], "n_chars", "n_chars").select("n", "same_valid", "same_lang")
+    """Side against side: mean lengths count what isn't known as 0."""
+    known = lambda s: F.col(s).withField("length", F.when(F.col(f"{s}.n_chars") % 4 > 0, F.col(f"{s}.n_chars")))
+    return E.compare_backends(_sides(spark, d).withColumns({"a": known("a"), "b": known("b")}), ["valid", "lang"], "n_chars", "length")
 
 
 _D = _J + ", d as (select *, sample_id % 40 as prompt_id, case when winner = 'A' then md5(a_text) else md5(b_text) end as chosen, case when winner = 'A' then md5(b_text) else md5(a_text) end as rejected, case when winner = 'A' then a_score - b_score else b_score - a_score end::double as score_delta from j where winner <> 'tie')"
@@ -386,14 +459,12 @@ def category_balance_argmin(spark, d):
 
 @query("select source, lang, count(*) as n, grouping(source)::int as all_sources, grouping(lang)::int as all_langs from documents group by rollup(source, lang)")
 def source_lang_rollup(spark, d):
-    t = table(spark, d, "documents").rollup("source", "lang")
-    return t.agg(F.count("*").alias("n"), F.grouping("source").cast("int").alias("all_sources"), F.grouping("lang").cast("int").alias("all_langs"))
+    return C.field_counts(table(spark, d, "documents"), "source", "lang").withColumnsRenamed({"all_source": "all_sources", "all_lang": "all_langs"})
 
 
 @query("select v.variant, count(*) as n from benchmark cross join (select unnest(['base', 'tuned']) as variant) v group by v.variant")
 def variants_by_rows(spark, d):
-    v = spark.createDataFrame([("base",), ("tuned",)], "variant string")
-    return table(spark, d, "benchmark").crossJoin(F.broadcast(v)).groupBy("variant").agg(F.count("*").alias("n"))
+    return G.cross_variants(table(spark, d, "benchmark"), [{"variant": "base"}, {"variant": "tuned"}]).groupBy("variant").agg(F.count("*").alias("n"))
 
 
 # ---- diagnosis records made from documents: the task's own scores, selection and repair
@@ -508,7 +579,7 @@ def default_sample_ids(spark, d):
 
 @query("select doc_id from documents where doc_id in (select doc_id from labels)")
 def key_intersection(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
+    return C.shared_keys(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 @query("select doc_id, quality, n_chars from labels join documents using (doc_id)")
