@@ -238,7 +238,7 @@ def test_expansion_parses_validates_and_counts(spark):
         return json.dumps({"generated": [{"seed_id": s, "samples": [good, {**good, "instruction": "x"}]} for s in asked]})
 
     out = G.expand(seeds, lambda: G.FakeClient(answer=answer), "s").collect()
-    assert sorted((r["seed_id"], tuple(r["reasons"])) for r in out if r["seed_id"] is not None) == [(i, x) for i in (0, 1) for x in ((), ("schema.instruction",))]
+    assert sorted((r["seed_id"], tuple(r["reasons"])) for r in out if r["seed_id"] is not None) == [(i, x) for i in (0, 1) for x in ((), ("instruction mismatch",))]
     rows = spark.createDataFrame(out, "chunk long, seed_id int, " + K.RECORD_DDL + ", elapsed_seconds double, error string, reasons array<string>")
     got = {r["chunk"]: (r["n_valid"], r["n_invalid"], r["error"]) for r in G.batch_stats(rows).collect()}
     assert got == {0: (2, 2, None), 1: (0, 0, None), 2: (0, 0, "OSError: down")}
@@ -247,3 +247,47 @@ def test_expansion_parses_validates_and_counts(spark):
 def test_overall_scores(spark):
     df = spark.createDataFrame([((1, 3),), ((2, None),), ((4, 5),), (None,)], "overall_scores struct<A_score:int, B_score:int>")
     assert tuple(E.overall_stats(df).first()) == (2.5, 4.0, 1.5, 2) and tuple(E.overall_stats(df.limit(0)).first()) == (None, None, None, 0)
+
+
+def test_json_that_cannot_be_stored_as_it_is(spark):
+    assert parse_strict('{"\\ud800": "a\\udfff"}')[2:4] == (["?"], {"?": "a?"})
+    bad = spark.sql(r"select cast(x'7b2261223a2022ff227d' as string) as x").select(strict_json(F.col("x")).alias("o")).first()["o"]
+    assert bad["ok"] and bad["scalars"] == {"a": "�"}
+    deep = parse_strict("[" * 100_000)
+    assert not deep[0] and deep[1]
+
+
+def test_arrays_without_items(spark, tmp_path):
+    (tmp_path / "a.json").write_text(" [] ")
+    assert readers.read_json_array(spark, str(tmp_path / "a.json"), "v int").count() == 0
+    with pytest.raises(ValueError, match="no items"):
+        readers.read_json_array(spark, str(tmp_path / "a.json"), "v int", allow_empty=False)
+
+
+def test_rates_round_ties_to_even(spark):
+    df = spark.createDataFrame([("v", (i == 0,)) for i in range(32)], "variant string, metrics struct<json_parse_success:boolean>")
+    assert E.metric_summary(df, flags=("json_parse_success",), optional=()).first()["rate"] == 0.0312
+
+
+def test_places_of_rows_that_tie_and_of_none(spark):
+    df = spark.range(1000).repartition(7).selectExpr("id % 3 as k", "id")
+    got = C.numbered(df, ["k", "id"], "n", 1).collect()
+    assert sorted((r["k"], r["id"]) for r in got) == [(r["k"], r["id"]) for r in sorted(got, key=lambda r: r["n"])] and {r["n"] for r in got} == set(range(1, 1001))
+    assert C.numbered(df.limit(0), ["k"]).count() == 0 and C.chunked(df, ["id"], 300).select("chunk").distinct().count() == 4
+
+
+def test_splits_and_draws_that_cannot_be(spark):
+    with pytest.raises(ValueError, match="hash_split"):
+        V.exact_split(spark.range(1), "id", 1_000_001, 5, 5)
+    assert V.exact_sample(spark.range(5), "id", 5, 9, key="id").count() == 5 and V.exact_sample(spark.range(5), "id", 5, 0, key="id").count() == 5
+    with pytest.raises(ValueError, match="no matrix"):
+        G.variant_matrix("none", {}, {})
+
+
+def test_first_k_over_several_batches(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for i in range(2):
+        sinks.write_jsonl(spark.createDataFrame([("a", 10 * i + j) for j in range(2)] + [(None, 1), ("b", 10 * i)], "k string, v int"), str(tmp_path / "in"), append=True)
+        stream = feeds.first_k(feeds.stream_jsonl(spark, str(tmp_path / "in"), "k string, v int"), "k", "v", 3)
+        feeds.flush(stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(out).collect()) == [("a", 0), ("a", 1), ("a", 10), ("b", 0), ("b", 10)]
