@@ -17,12 +17,16 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one of a local session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="siftwork-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
+        sc = spark.sparkContext
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = sc.getCheckpointDir()
+        if not path:
+            path = "file://" + tempfile.mkdtemp(prefix="siftwork-")
+            sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -87,6 +91,11 @@ def merged_by_steps(parts: DataFrame, combine, fan: int = 64) -> DataFrame:
     return parts.select("shard", "data")
 
 
+def texts_of(column) -> list[str]:
+    """An Arrow string column as texts; null: empty. Spark's strings can hold bytes that aren't UTF-8: those count as U+FFFD."""
+    return [x.decode("utf-8", "replace") for x in text_bytes(column)]
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null: empty."""
     import pyarrow as pa

@@ -5,10 +5,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded_batches, fresh, merged_by_steps, quoted, saved, spread_join
+from .common import SPACES, bounded_batches, fresh, merged_by_steps, quoted, saved, spread_join, texts_of
 
 _SHARD = 1 << 16  # bytes of a filter that travel and are merged together
 
@@ -80,8 +81,6 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
     Each task fills a once-seen and a twice-seen filter; their shards are merged in two steps of bounded groups. A key that
     occurs twice anywhere is always in it; others get in by chance, the more the fuller the filter is.
     """
-    import pyarrow as pa
-
     size = bits // 8
     n_shards = max(1, size // _SHARD)
 
@@ -90,8 +89,8 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
 
         once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for batch in batches:
-            for text in batch.column(0):
-                keys = [x for x in line_keys(text.as_py(), least_chars) if x]
+            for text in texts_of(batch.column(0)):
+                keys = [x for x in line_keys(text, least_chars) if x]
                 if not keys:
                     continue
                 rows = _as_rows(keys)
@@ -115,7 +114,7 @@ def repeated_filter(docs: DataFrame, text_col: str, least_chars: int, bits: int,
     return out.reshape(-1)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, bits: int | None = None, hashes: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, bits: int | None = None, hashes: int = 4, broadcast_up_to: int = 2_000_000) -> DataFrame:
     """docs with the columns line_n, line_dropped (long) and line_kept (the text that stays); `_` is put before clashing names.
 
     A text is split at newlines (null or empty: one empty line). A line's key is the line without white space at its ends and
@@ -124,11 +123,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document below all others. Other columns stay as they are. An empty table gives an empty one.
 
     Two Bloom filters of bits bits (a power of two; None: filter_bits') find keys seen twice; only those keys shuffle, as (key, id), to be counted exactly, so
-    the result is the same for any size of filter. A key that a third of the documents hold is counted with partial sums;
-    its rows meet one row in the join back, where adaptive execution splits them.
+    the result is the same for any size of filter. A key that a third of the documents hold is counted with partial sums.
+    Up to broadcast_up_to repeated keys are broadcast as a table (24 bytes a key and the last id), and texts are cut where they
+    are read; beyond that (key, id) meet the repeated keys in a join, spread by id, and texts shuffle to meet their keys.
+    Bytes that aren't UTF-8 count as U+FFFD.
     """
-    import pyarrow as pa
-
     spark = docs.sparkSession
     bounded_batches(spark)
     if least_docs < 2:
@@ -143,8 +142,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         have = twice.value
         for batch in batches:
             rows, out = [], []
-            for i, text in enumerate(batch.column(1)):
-                if keys := list({x for x in line_keys(text.as_py(), least_chars) if x}):
+            for i, text in enumerate(texts_of(batch.column(1))):
+                if keys := list({x for x in line_keys(text, least_chars) if x}):
                     hit = _has(have, _positions(_as_rows(keys), bits, hashes))
                     out += (found := [x for x, y in zip(keys, hit, strict=True) if y])
                     rows += [i] * len(found)
@@ -153,30 +152,83 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t")).mapInArrow(suspects, f"id {id_type}, key binary")
     found = saved(found.distinct(), "suspects")
     sure = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs)
-    drops = spread_join(found, sure, "key", "id").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias("drop_id")).agg(F.collect_list("key").alias(list_col))
-
-    @F.pandas_udf("n long, dropped long, kept string")
-    def cut(texts, keys):
-        import pandas as pd
-
-        out = []
-        for text, gone in zip(texts, keys, strict=True):
-            lines = (text or "").split("\n")
-            if gone is None or not len(gone):
-                out.append((len(lines), 0, text or ""))
-                continue
-            gone = {bytes(x) for x in gone}
-            kept = [x for x, k in zip(lines, line_keys(text, least_chars), strict=True) if k is None or k not in gone]
-            out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
-        return pd.DataFrame(out, columns=["n", "dropped", "kept"])
-
-    cut = cut.asNondeterministic()  # so that a filter on its result doesn't run it a second time
+    sure = saved(sure, "repeated")
     (x,) = fresh(docs, "line_cut")
-    joined = docs.join(drops, quoted(id_col).eqNullSafe(F.col("drop_id")), "left").withColumn(x, cut(quoted(text_col).cast("string"), F.col(list_col)))
-    return joined.select(*[quoted(c) for c in docs.columns], F.col(f"{x}.n").alias(n_col), F.col(f"{x}.dropped").alias(d_col), F.col(f"{x}.kept").alias(k_col))
+    out = None
+    if sure.count() <= broadcast_up_to:
+        table = sure.select("key", "last").toArrow().combine_chunks()
+        rows = _as_rows(table["key"].to_pylist()) if len(table) else np.zeros((0, 2), np.uint64)
+        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        if len(np.unique(rows[:, 0])) == len(rows):  # else, as good as never, two keys have the same half
+            last = table["last"].take(pa.array(order)).combine_chunks()
+            out = docs.withColumn(x, _cut_by_table(spark.sparkContext.broadcast((rows[order], last)), least_chars)(quoted(id_col), quoted(text_col).cast("string")))
+    if out is None:
+        drops = spread_join(found, sure, "key", "id").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy(F.col("id").alias("drop_id")).agg(F.collect_list("key").alias(list_col))
+        out = docs.join(drops, quoted(id_col).eqNullSafe(F.col("drop_id")), "left").withColumn(x, _cut_by_list(least_chars)(quoted(text_col).cast("string"), F.col(list_col)))
+    return out.select(*[quoted(c) for c in docs.columns], F.col(f"{x}.n").alias(n_col), F.col(f"{x}.dropped").alias(d_col), F.col(f"{x}.kept").alias(k_col))
+
+
+_CUT = "n long, dropped long, kept string"
+
+
+def _cut_rows(texts: list[str], gone: list):
+    """A struct (n, dropped, kept) for each text; gone has for each the places of the lines that go."""
+    kept, n, dropped = [], [], []
+    for text, away in zip(texts, gone, strict=True):
+        n.append(text.count("\n") + 1)
+        dropped.append(len(away))
+        if len(away):
+            away = set(away)
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in away)
+        kept.append(text)
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["n", "dropped", "kept"])
+
+
+def _cut_by_table(table, least_chars: int):
+    """A function of (id, text) that cuts lines by a broadcast table of all repeated keys, sorted, and the last id of each."""
+
+    @F.arrow_udf(_CUT)
+    def cut(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        keys, last = table.value
+        own = texts_of(texts)
+        doc, place, found = [], [], []
+        for i, text in enumerate(own):
+            for j, key in enumerate(line_keys(text, least_chars)):
+                if key is not None:
+                    doc.append(i), place.append(j), found.append(key)
+        gone: list = [[] for _ in own]
+        if found and len(keys):
+            rows = _as_rows(found)
+            at = np.minimum(np.searchsorted(keys[:, 0], rows[:, 0]), len(keys) - 1)
+            hit = np.flatnonzero((keys[at] == rows).all(1))
+            if len(hit):
+                a, b = ids.take(pa.array([doc[i] for i in hit])), last.take(pa.array(at[hit]))
+                here = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+                for i in hit[~here.to_numpy(zero_copy_only=False)]:
+                    gone[doc[i]].append(place[i])
+        return _cut_rows(own, gone)
+
+    return cut.asNondeterministic()  # so that a filter on its result doesn't run it a second time
+
+
+def _cut_by_list(least_chars: int):
+    """A function of (text, keys) that cuts the lines with these keys."""
+
+    @F.arrow_udf(_CUT)
+    def cut(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        own, gone = texts_of(texts), []
+        for text, away in zip(own, keys.to_pylist(), strict=True):
+            away = set(away or ())
+            gone.append([j for j, k in enumerate(line_keys(text, least_chars)) if k is not None and k in away] if away else [])
+        return _cut_rows(own, gone)
+
+    return cut.asNondeterministic()
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines of all documents: lines before, lines dropped and the SHA-256 of what stays."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.col("line_n").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2("line_kept", 256).alias("kept_sha256"))
 

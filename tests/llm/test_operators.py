@@ -402,8 +402,8 @@ def test_many_documents_come_near_the_target(spark):
 # ---- 6
 
 
-@pytest.mark.parametrize("bits", [None, 1 << 22, 1 << 19])
-def test_lines_against_brute_force(spark, docs, bits):
+@pytest.mark.parametrize("bits,table", [(None, 9), (1 << 22, 0), (1 << 19, 9), (1 << 19, 0)])
+def test_lines_against_brute_force(spark, docs, bits, table):
     df = docs.where("doc_id is null or doc_id <> 12 or salt = 1").withColumn("line_n", F.lit(0))
     rows = df.collect()
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
@@ -418,11 +418,20 @@ def test_lines_against_brute_force(spark, docs, bits):
         ls = (r["text"] or "").split("\n")
         kept = [x for x in ls if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == i]
         want[(r["doc_id"], len(ls), len(ls) - len(kept), "\n".join(kept))] += 1
-    got = Counter((r["doc_id"], r["_line_n"], r["line_dropped"], r["line_kept"]) for r in line_dedup.dedup_lines(df, bits=bits).collect())
+    got = Counter((r["doc_id"], r["_line_n"], r["line_dropped"], r["line_kept"]) for r in line_dedup.dedup_lines(df, bits=bits, broadcast_up_to=table).collect())
     assert got == want and any(k[2] for k in got)
     assert line_dedup.dedup_lines(df.limit(0), bits=bits).count() == 0
 
 
+@pytest.mark.parametrize("table", [9, 0])
+def test_lines_of_documents_that_share_an_id(spark, table):
+    """Rows of one id are one document: the key below is in three, and only the largest id's rows keep it. Ids may be texts."""
+    line = "a line that is long enough to count"
+    df = spark.createDataFrame([("a", line), ("b", f"{line}\n{line} "), ("b", "x"), ("c", line), ("c", f"y\n{line}"), (None, f" {line}\nz")], "doc_id string, text string")
+    got = Counter((r["doc_id"], r["line_n"], r["line_dropped"], r["line_kept"]) for r in line_dedup.dedup_lines(df, broadcast_up_to=table).collect())
+    assert got == Counter([("a", 1, 1, ""), ("b", 2, 2, ""), ("b", 1, 0, "x"), ("c", 1, 0, line), ("c", 2, 0, f"y\n{line}"), (None, 2, 1, "z")])
+
+
 def test_line_filter_grows_with_the_lines(spark):
     df = spark.range(3000).select(F.concat_ws("\n", *[F.concat(F.lit("x" * 25), "id", F.lit(str(i))) for i in range(100)], F.lit("short")).alias("t"))
     assert line_dedup.filter_bits(df, "t", 20) == 1 << 22 and line_dedup.filter_bits(df, "t", 20, most=1 << 21) == 1 << 21
