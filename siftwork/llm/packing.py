@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ordinary_encoder, quoted, saved
+from .common import bounded_batches, ordinary_encoder, quoted, saved, texts_of
 
 
 @lru_cache(maxsize=4)
@@ -57,7 +58,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, end_i
         task, counts, encode = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), encoder(tokenizer)
         for batch in batches:
             at, size = 0, 0
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = texts_of(batch.column(1))
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size < 1 << 20):
@@ -100,10 +101,10 @@ def combinations(lengths: list[int], window: int, depth: int = 3, breadth: int =
 
 
 def nonnegative_least_squares(combos: list[tuple[int, ...]], counts: np.ndarray, sweeps: int = 30) -> np.ndarray:
-    """x >= 0 that brings the lengths used by x[j] repeats of combos[j] near counts, by cyclic coordinate descent.
+    """x >= 0 that brings the lengths used by x[j] repeats of combos[j] near counts, by accelerated projected gradient steps.
 
-    A column has depth entries at most; all columns that share no length move at once would need a colouring, so a sweep
-    moves every column by its share of the residual instead: the step is divided by how many columns use each length.
+    A step moves every column by its share of the residual and cuts it off at 0; its length is divided by how many columns use
+    each of the column's lengths, so that it never overshoots, and steps carry momentum from the one before.
     """
     if not combos:
         return np.zeros(0)
@@ -183,14 +184,16 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(r, np.int64) for n, r in rows.items()}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, tokenizer: str = "byte_bpe_50k", depth: int = 3) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, tokenizer: str = "byte_bpe_50k", depth: int = 3, most_tasks: int = 16_384) -> DataFrame:
     """(doc, start, length, ids, doc_tokens, sequence_id, offset): the pieces of all documents and where each goes.
 
     A document is its ids and end_id (null text: end_id alone), cut at window; every id is in one piece. Sequences hold window
     ids at most and have no gap before their padding. Rows are documents of their own, also where ids repeat or are null.
-    Pieces are written to the shared folder. Only counts go to the driver, window at most, and the plan made from them; the
-    ranks within a length are sums over tasks (a row for each task and length) plus the place within the task, so no length
-    gathers in one task however common it is. An empty table gives no pieces.
+    Bytes that aren't UTF-8 count as U+FFFD. Pieces are written to the shared folder. Only counts go to the driver, and the plan
+    made from them. A piece's rank within its length is how many the tasks before its own have made, and its place among its
+    own task's, so no length gathers in one task however common it is. For up to most_tasks tasks the former are broadcast,
+    compressed, as a row of window numbers a task, and pieces don't shuffle; beyond that they are joined on task and length. An
+    empty table gives no pieces.
     """
     import pyarrow as pa
 
@@ -201,31 +204,58 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(plan_windows(counts, window, depth)))
     kind = pieces.schema["doc"].dataType.simpleString()
+    columns = ["doc", "start", "length", "ids", "doc_tokens"]
 
-    def before(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("task")
-        return pd.DataFrame({"length": pdf["length"], "task": pdf["task"], "base": pdf["n"].cumsum() - pdf["n"]})
-
-    bases = per_task.groupBy("length").applyInPandas(before, "length long, task long, base long")
+    def place(length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            t = slots.value[int(n)]
+            i = np.searchsorted(t[:, 0], rank[at], "right") - 1
+            seq[at], off[at] = t[i, 1] + rank[at] - t[i, 0], t[i, 2]
+        return seq, off
 
     def placed(batches):
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for n in np.unique(length):
-                at = np.flatnonzero(length == n)
-                t = slots.value[int(n)]
-                i = np.searchsorted(t[:, 0], rank[at], "right") - 1
-                seq[at], off[at] = t[i, 1] + rank[at] - t[i, 0], t[i, 2]
-            cols = [batch.column(c) for c in ("doc", "start", "length", "ids", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], ["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    ranked = pieces.join(bases, ["length", "task"]).select("doc", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("place")).alias("rank"))
+            length, at, task = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "place", "task"))
+            base = batch.column("base").to_numpy(zero_copy_only=False) if bases is None else np.zeros(len(task), np.int64)
+            if bases is not None:
+                for t in np.unique(task):
+                    mine = np.flatnonzero(task == t)
+                    base[mine] = np.frombuffer(zlib.decompress(bases.value[int(t)]), "<i8")[length[mine]]
+            seq, off = place(length, base + at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(seq), pa.array(off)], [*columns, "sequence_id", "offset"])
+
+    if per_task.select("task").distinct().count() <= most_tasks:
+
+        def row(key, pdf):
+            import pandas as pd
+
+            n = np.zeros(window + 1, "<u4")
+            n[pdf["length"]] = pdf["n"]
+            return pd.DataFrame({"task": [key[0]], "data": [zlib.compress(n.tobytes(), 1)]})
+
+        got = sorted((r["task"], bytes(r["data"])) for r in per_task.groupBy("task").applyInPandas(row, "task long, data binary").toLocalIterator())
+        before, table = np.zeros(window + 1, "<i8"), {}
+        for t, data in got:
+            table[t] = zlib.compress(before.tobytes(), 1)
+            before += np.frombuffer(zlib.decompress(data), "<u4")
+        bases = spark.sparkContext.broadcast(table)
+        ranked = pieces.select(*columns, "task", "place")
+    else:
+
+        def sums(key, pdf):
+            import pandas as pd
+
+            pdf = pdf.sort_values("task")
+            return pd.DataFrame({"length": pdf["length"], "task": pdf["task"], "base": pdf["n"].cumsum() - pdf["n"]})
+
+        bases = None
+        ranked = pieces.join(per_task.groupBy("length").applyInPandas(sums, "length long, task long, base long"), ["length", "task"]).select(*columns, "task", "place", "base")
     return ranked.mapInArrow(placed, f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack of all documents into windows of 1,024 tokens; the ids are given by their CRC-32. Null text is the end token alone."""
     out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -441,10 +441,12 @@ def test_line_filter_grows_with_the_lines(spark):
 # ---- 7
 
 
-def test_packing_is_a_round_trip(spark, docs):
+@pytest.mark.parametrize("most_tasks", [100, 0])
+def test_packing_is_a_round_trip(spark, docs, most_tasks):
+    docs = docs.repartition(3).persist()
     encode = packing.encoder()
     assert encode(["a <|endoftext|> b"]) == [packing.slow_encoder("byte_bpe_50k").encode("a <|endoftext|> b", add_special_tokens=False).ids]
-    rows = packing.pack(docs.withColumn("length", F.lit("clash")), window=256).collect()
+    rows = packing.pack(docs.withColumn("length", F.lit("clash")), window=256, most_tasks=most_tasks).collect()
     want = Counter(zlib.crc32(np.array([*i, 0], "<u4").tobytes()) for i in encode([r["text"] or "" for r in docs.collect()]))
     pieces = {}
     for r in rows:
