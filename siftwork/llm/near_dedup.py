@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, merged_by_steps, mix, ngram_hashes, quoted, saved, spread_join, text_bytes, word_hashes
+from .common import bounded_batches, distinct, fresh, merged_by_steps, mix, ngram_hashes, quoted, saved, spread_join, text_bytes, word_hashes
 from .graph import connected_components
 
 _IDF_BITS = 20
@@ -71,7 +71,7 @@ def hot_buckets(keyed: DataFrame, shingle: int) -> dict[int, tuple[bytes, int]]:
     def banded(batches):
         counters, n = np.zeros(1 << _IDF_BITS, "<i8"), 0
         for batch in batches:
-            own = [np.unique(ngram_hashes(word_hashes(t)[0], shingle)) for t in text_bytes(batch.column(1))]
+            own = [distinct(ngram_hashes(word_hashes(t)[0], shingle)) for t in text_bytes(batch.column(1))]
             bands = [plain_bands(x) if len(x) else None for x in own]
             if some := [x for x in bands if x is not None]:
                 np.add.at(counters, np.concatenate(some).view(np.uint64) >> np.uint64(64 - _IDF_BITS), 1)
@@ -120,12 +120,12 @@ def shingle_idf(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
         df, n = np.zeros(1 << _IDF_BITS, "<i8"), 0
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                own = np.unique(ngram_hashes(word_hashes(t)[0], shingle))
+                own = distinct(ngram_hashes(word_hashes(t)[0], shingle))
                 met = [hot.value[b] for b in plain_bands(own).tolist() if b in hot.value] if len(own) and hot.value else []
                 if not len(own) or any(least != key for least, _ in met):
                     continue
                 part = _ONE // met[0][1] if met else _ONE
-                df[np.unique(own >> np.uint64(64 - _IDF_BITS)).astype(np.int64)] += part
+                df[distinct(own >> np.uint64(64 - _IDF_BITS)).astype(np.int64)] += part
                 n += part
         yield pa.RecordBatch.from_arrays(_counter_columns(df, n), ["shard", "pid", "data"])
 
