@@ -7,22 +7,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, new_path, ordinary_encoder, quoted
+from .common import bounded_batches, fresh, new_path, ordinary_encoder, quoted, texts_of
 
 _KEYS = ("source", "lang", "tokenizer")
+_ROWS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+_BUCKETS = 64
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(_BUCKETS)).cast("int")
 
 
 def count_tokens(docs: DataFrame, tokenizers: list[str], text_col: str = "text") -> DataFrame:
-    """docs without text_col, a row for each tokenizer, with tokenizer and n_tokens of the whole text (null: 0); `_` is put before clashing names."""
+    """docs without text_col, a row for each tokenizer, with tokenizer and n_tokens of the whole text (null: 0; bytes that aren't UTF-8 count as U+FFFD); `_` is put before clashing names."""
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
+
     kept = [f for f in docs.schema.fields if f.name != text_col]
     name, number = fresh(docs.drop(text_col), "tokenizer", "n_tokens")
 
     def counted(batches):
         counters = [ordinary_encoder(t) for t in tokenizers]
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
+            texts = texts_of(batch.column(0))
             for t, count in zip(tokenizers, counters, strict=True):
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([t] * len(texts), pa.string()), pa.array([len(count(x)) for x in texts], pa.int64())], [*(f.name for f in kept), name, number])
 
@@ -41,9 +49,12 @@ class TokenRollups:
     Each row of an insert counts, so repeated rows add up; of several deletes and revisions of a document and tokenizer in one
     batch one holds: a deletion, else the revision of most tokens. They refer to the state before the batch. A null tokenizer is a version of its own, as are a null source and language; null ids are one document.
 
-    Signed rows and their totals are written aside and committed by one rename to the batch's name. A batch name that is
-    there is not applied again; an attempt that died leaves nothing that is read. Totals are sums over the committed batches'
-    small tables, so neither a commit nor a reader works through the documents already counted, but for those being changed.
+    Signed rows and their totals are written aside and committed by one rename to the batch's name, which the store must do at
+    once or not at all (as HDFS and local disks do; object stores without that need another commit). A batch name that is
+    there is not applied again; an attempt that died leaves nothing that is read, and one that lost is deleted. Totals are sums
+    over the committed batches' small tables, so readers don't work through documents. The signed rows, of some numbers a
+    document and no text, lie in 64 buckets by a hash of document and tokenizer: a commit with deletes or revisions reads those
+    buckets alone that its changes fall in, and one with inserts only reads none.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -60,9 +71,12 @@ class TokenRollups:
         paths = [f"{self.path}/batches/{b}/{what}" for b in self._batches()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def ledger(self) -> DataFrame:
-        """The signed rows of all committed batches."""
-        return self._read("rows", "doc_id long, source string, lang string, tokenizer string, docs long, tokens long")
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """The signed rows of all committed batches, or of some of their buckets."""
+        some = "*" if buckets is None else "{" + ",".join(map(str, buckets)) + "}"
+        found = self._fs.globStatus(self._of(f"{self.path}/batches/*/rows/bucket={some}"))
+        paths = [s.getPath().toString() for s in found]
+        return self.spark.read.schema(_ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], _ROWS)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of what is left; groups that have come to nothing are absent."""
@@ -83,21 +97,25 @@ class TokenRollups:
         new = c.where("op = 'insert'").select("doc_id", *_KEYS, F.lit(1).cast("long").alias("docs"), F.col("n").alias("tokens"))
         if self._batches():
             late = c.where("op in ('delete', 'revise')").groupBy("doc_id", "tokenizer").agg(F.max(F.struct((F.col("op") == "delete").alias("gone"), "n", F.col("source").alias("s"), F.col("lang").alias("l"))).alias("x"))
+            touched = [r[0] for r in late.select(_bucket().alias("b")).distinct().collect()]
             late = late.select(F.col("doc_id").alias("id2"), F.col("tokenizer").alias("tok2"), "x")
-            led = self.ledger()
+            led = self.ledger(touched)
             state = led.join(late, led.doc_id.eqNullSafe(late.id2) & led.tokenizer.eqNullSafe(late.tok2)).groupBy("doc_id", *_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.max("x").alias("x")).where("docs <> 0 or tokens <> 0")
             minus = state.select("doc_id", *_KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
             plus = state.where("not x.gone").groupBy("doc_id", "tokenizer").agg(F.max("source").alias("source"), F.max("lang").alias("lang"), F.max("x").alias("x"))
             plus = plus.select("doc_id", F.coalesce("x.s", "source").alias("source"), F.coalesce("x.l", "lang").alias("lang"), "tokenizer", F.lit(1).cast("long").alias("docs"), F.col("x.n").alias("tokens"))
             new = new.unionByName(minus).unionByName(plus)
-        new.write.option("compression", "zstd").parquet(f"{aside}/rows")
-        rows = self.spark.read.schema(new.schema).parquet(f"{aside}/rows")
-        rows.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{aside}/totals")
-        if not self._fs.rename(self._of(aside), target) or self._fs.exists(self._of(f"{target}/{aside.rpartition('/')[2]}")):
-            # another writer was first: a rename to a folder that is there fails or puts this attempt inside it
-            self._fs.delete(self._of(f"{target}/{aside.rpartition('/')[2]}"), True)
-            return False
-        return True
+        # rows of a bucket lie together; a bucket that is much larger than others is split
+        new.withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{aside}/rows")
+        rows = self.spark.read.schema(_ROWS + ", bucket int").parquet(f"{aside}/rows")
+        rows.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{aside}/totals")
+        inside = self._of(f"{target}/{aside.rpartition('/')[2]}")
+        if self._fs.rename(self._of(aside), target) and not self._fs.exists(inside):
+            return True
+        # another writer was first: a rename to a folder that is there fails or puts this attempt inside it
+        for path in (self._of(aside), inside):
+            self._fs.delete(path, True)
+        return False
 
 
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -509,6 +509,20 @@ def test_rollups_follow_the_state(spark):
     assert sorted(store.totals().collect(), key=str) == sorted([("a", "en", "t", 1, 7), ("c", "en", "t", 1, 11), (None, None, "t", 1, 5), ("b", "de", "u", 1, 0)], key=str)
     with pytest.raises(ValueError):
         store.commit("../x", first)
+    clash = df(("insert", 7, "a", "en", "t", 1)).withColumn("bucket", F.lit("x")).withColumn("docs", F.lit(5))
+    assert store.commit("four", clash) and store.ledger().count() == 5 + 4 + 0 + 1
+    scanned = {f.split("bucket=")[1].split("/")[0] for f in store.ledger([3, 9]).inputFiles()}
+    assert scanned <= {"3", "9"}
+    empty = token_rollups.TokenRollups(spark, new_path(spark, "t"))
+    assert empty.commit("none", df()) and empty.totals().count() == 0 and token_rollups.count_tokens(spark.createDataFrame([], DOCS), ["byte_bpe_50k"]).count() == 0
+
+
+def test_a_commit_that_comes_second_leaves_nothing(spark):
+    store = token_rollups.TokenRollups(spark, new_path(spark, "t"))
+    row = spark.createDataFrame([("insert", 1, "a", "en", "t", 10)], "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    exists, store._fs = store._fs.exists, type("Fs", (), {"exists": lambda self, p: False if p.getName() == "b" else exists(p), "__getattr__": lambda self, n: getattr(fs, n)})() if (fs := store._fs) else None
+    assert store.commit("b", row) and not store.commit("b", row)
+    assert [(r["n_docs"], r["n_tokens"]) for r in store.totals().collect()] == [(1, 10)] and not fs.listStatus(store._of(f"{store.path}/aside"))
 
 
 def test_counts_are_of_whole_texts(spark, docs):
