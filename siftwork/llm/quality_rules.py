@@ -38,7 +38,8 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclamations) of each row; null text: no words.
 
     The id column is called id; other columns are not read. Words that lie in a window of three words found twice or more in the
-    text are found by sorting the windows' hashes with their places in the low bits; neighbours are compared word by word.
+    text are found by sorting the windows' hashes with their places in the low bits; of neighbours the 64-bit hashes of the words
+    themselves are compared, so two windows count as equal if all three hashes are.
     A row is worked on alone, so there is no shuffle, and time and memory follow its length.
     """
     t = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("t"))
@@ -107,6 +108,28 @@ def weigh_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weigh_rules over all documents; what fails the base is never kept, else the posterior (to six places) decides. Null text has no words and fails."""
     out = weigh_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("posterior") >= 0.5)).alias("kept"), F.round("posterior", 6).alias("posterior"))
+
+
+_VOTES = ", ".join(f"case when {r.bad} then -1 when {r.good} then 1 else 0 end" for r in RULES)
+_N = len(RULES)
+OP9_SQL = rf"""
+with recursive d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as tri from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, tri) > 1),
+f as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from r) group by doc_id),
+s as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+  coalesce(f.n, 0)::bigint as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_capitals, length(regexp_replace(t, '[^!]', '', 'g')) as n_exclamations from w left join f using (doc_id)),
+v as materialized (select *, [{_VOTES}] as votes from s),
+k as materialized (select list(struct_pack(v := votes, n := n) order by votes) as k from (select votes, count(*) as n from v group by votes)),
+e as (select 0 as i, [{", ".join(["0.9::double"] * _N)}] as acc union all
+  select i + 1, list_transform(range(1, {_N + 1}), lambda r: greatest(0.05, least(0.999, (0.9 + list_sum(list_transform(range(1, len(k) + 1), lambda j: case k[j].v[r] when 1 then k[j].n * q[j] when -1 then k[j].n * (1 - q[j]) else 0 end)))
+    / (1 + list_sum(list_transform(k, lambda x: x.n * abs(x.v[r]))))))) from (select i, acc, k, list_transform(k, lambda x: 1 / (1 + exp(-list_sum(list_transform(range(1, {_N + 1}), lambda m: x.v[m] * ln(acc[m] / (1 - acc[m]))))))) as q from e, k) where i < 40),
+p as (select x.v as votes, 1 / (1 + exp(-list_sum(list_transform(range(1, {_N + 1}), lambda m: x.v[m] * ln(acc[m] / (1 - acc[m])))))) as posterior from (select acc, unnest(k) as x from e, k where i = 40))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and posterior >= 0.5 as kept, round(posterior, 6) as posterior from v join p using (votes)
+"""
