@@ -34,21 +34,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return t.select("source", "source_size", F.when(F.col("water").isNull(), F.col("room")).otherwise(F.least(F.col("room"), F.col("water") * F.col("w"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, size_col: str | None = None) -> DataFrame:
     """docs with the columns mix_size, mix_source_size, mix_target and mix_copies; `_` is put before clashing names.
 
-    mix_size: words of the text (null: 0). A source's rate is its target by its size (0 for an empty source). A document gets
+    mix_size: words of the text (null: 0), or what size_col says, if that is given. A source's rate is its target by its size (0 for an empty source). A document gets
     floor(rate) copies and one more with the probability of the fraction, decided by a hash of the seed and the id: rows that
-    share an id (a null id too) decide alike and reruns agree. A source that holds a third of all rows is summed with partial
+    share an id decide alike, rows without one by their text, and reruns agree. A source that holds a third of all rows is summed with partial
     sums and joined to a written table of one row a source, which Spark broadcasts only if that is small, else splits the sources' rows. An empty table gives one.
     """
     size, source, total, target, copies = fresh(docs, "mix_size", "mix_source", "mix_source_size", "mix_target", "mix_copies")
-    own = docs.withColumn(size, word_count(quoted(text_col)))
-    sizes = docs.select(quoted(source_col).alias("source"), word_count(quoted(text_col)).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    own = docs.withColumn(size, F.coalesce(quoted(size_col).cast("long"), F.lit(0)) if size_col else word_count(quoted(text_col)))
+    sizes = own.select(quoted(source_col).alias("source"), F.col(size).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     goals = source_targets(sizes, weights, most).select(F.col("source").alias(source), F.col("source_size").alias(total), F.col("target").alias(target))
     goals = saved(goals, "targets")  # its size is then known when the join is planned: texts aren't shuffled to meet a small table
     rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(quoted(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    blank = F.concat(F.lit("null:"), F.md5(F.coalesce(quoted(text_col).cast("string"), F.lit("")))) if text_col in docs.columns else F.lit("null")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(quoted(id_col).cast("string"), blank))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     out = own.join(goals, quoted(source_col).eqNullSafe(F.col(source)), "left").withColumn(copies, (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
     return out.drop(source)
 
@@ -60,12 +61,14 @@ def emit_copies(mixed: DataFrame, copies_col: str = "mix_copies") -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    """The mix of all documents; null text has size 0. Only sizes are asked for, so words are counted once, into a table of ids, sources and sizes."""
+    sizes = saved(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.col("text")).alias("text")), "sizes")
+    out = mix_sources(sizes, size_col="size")
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
 OP5_SQL = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, row_number() over (order by source nulls last) as rank from s),
 t as (select *, [5.0::double, 2.0::double, 1.0::double][(rank - 1) % 3 + 1] as w, source_size * 3.0::double as room from w),
@@ -74,6 +77,6 @@ l as (select *, (sum(source_size) over ()::double - coalesce(sum(room) over (ord
 g as (select *, (select level from l as x where x.level * x.w <= x.room order by x.room / x.w, x.rank limit 1) as water from l),
 m as (select source, source_size, case when water is null then room else least(room, water * w) end as target from g)
 select d.doc_id, d.size, m.source_size, m.target, d.size * (floor(r)::bigint + case when u < r - floor(r) then 1 else 0 end) as taken
-from (select d.*, ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0::double as u from d) d
+from (select d.*, ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))), 1, 13))::bigint::double / 4503599627370496.0::double as u from d) d
 join m on d.source is not distinct from m.source, lateral (select case when m.source_size > 0 then m.target / m.source_size else 0.0::double end as r)
 """

@@ -399,6 +399,12 @@ def test_many_documents_come_near_the_target(spark):
         assert abs(r["got"] - r["want"]) < 4 * 3 * (2000 * part * (1 - part)) ** 0.5
 
 
+def test_documents_without_ids_are_tossed_on_their_own(spark):
+    df = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), "id").alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
+    copies = {r["source"]: r["n"] for r in mixing.mix_sources(df).groupBy("source").agg(F.countDistinct("mix_copies").alias("n")).collect()}
+    assert copies == {"s0": 2, "s1": 2, "s2": 2}
+
+
 # ---- 6
 
 
