@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages: quality, repeated lines, near duplicates, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the last return the columns of
-documents. Empty tables pass through.
+documents. Empty tables pass through. Columns besides those of documents are left behind, so none can clash. Rows are what is
+worked on: rows that share an id or are equal stay rows of their own except where a stage says otherwise, and a null id is an id.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is below 0.5 go."""
+    """Documents whose quality score is below 0.5 go. Null and empty texts have a score as others do; equal rows have equal scores."""
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_quality(docs, labels)
@@ -28,24 +29,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that had words and has none left goes as well."""
+    """Repeated lines go; a document that loses lines and has no words left goes as well.
+
+    Rows that share an id are one document, null ids together the least; texts that lose nothing stay as they are, null too.
+    """
     out = dedup_lines(docs.select(*COLUMNS))
     left = F.coalesce(F.col("line_kept").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return out.where((F.col("line_dropped") == 0) | left).select("doc_id", F.when(F.col("line_dropped") > 0, F.col("line_kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(F.col("line_dropped") > 0, F.length("line_kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: that with the least id, of rows that share that id one. Texts without words, null among them, all stay."""
     return drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: at most three times, and with the same toss for rows that share an id. Null texts and sources count as in mix_sources."""
     return emit_copies(mix_sources(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their token ids."""
+    """The pieces of the packed sequences, with their token ids; a null text is its end token alone."""
     return pack(docs.select(*COLUMNS)).withColumnRenamed("doc", "doc_id")
 
 
