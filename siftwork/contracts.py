@@ -50,6 +50,7 @@ SAMPLE_CODES = {
     "schema.output.next_steps": "bad output.next_steps",
 }
 MATRICES = ("default_prompt", "strict_json_prompt", "both", "qwen25_3b_default_prompt", "qwen25_3b_strict_json_prompt", "qwen3_4b_default_prompt", "qwen3_4b_strict_json_prompt")
+DEVICES = {"cuda:0": 0, "cpu": "cpu"}
 EXPANSION_SYSTEM = """你是一名负责构造训练数据的工程师。
 
 任务：

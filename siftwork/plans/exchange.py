@@ -80,9 +80,10 @@ def line_counts(spark, d):
 @query(_values("place, name, value", [
     ("yaml", "a", "None"), ("yaml", "b", "True"), ("yaml", "c", "'x: y'"), ("yaml", "d", "7"), ("yaml", "e", "0.5"), ("yaml", "f", "'text'"), ("pairs", "A", "'1'"), ("pairs", "B", "'\"2'"), ("pairs", "C", "'kept'"), ("any", "A", "'1'"), ("any", "B", "'2'"), ("any", "C", "'kept'"),
     ("first", "x", "'kept'"), ("first", "y", "'none'"), ("variant", "n", "'/r/c.yaml /r/e.json'"), ("variant", "m", "'/abs None'"), ("label", "a", "'run'"), ("label", "b", "'other'"),
+    ("device", "CUDA:0 ", "{'': 0}"), ("device", "cpu", "{'': 'cpu'}"), ("device", "auto", "'auto'"),
 ]))
 def configuration(spark, d):
-    """Flat YAML, both dialects of environment files, the first variable that is set, variant specifications, labels of files."""
+    """Flat YAML, both dialects of environment files, the first variable that is set, variant specifications, labels of files, device maps."""
     home = Path(tempfile.mkdtemp())
     (home / "c.yaml").write_text("# note\n\na: null\nb: true\nc: \"x: y\"\nd: 7\ne: 0.5\nf: text\n", encoding="utf-8")
     (home / ".env").write_text("export A='1'\nB=\"2\n# no\nC=new\n", encoding="utf-8")
@@ -96,6 +97,7 @@ def configuration(spark, d):
         v = readers.variant_spec(spec, "/r")
         rows.append(("variant", v["name"], repr(f"{v['config']} {v['eval_data']}")))
     rows += [("label", "a", repr(readers.label_of("/x/run_results.jsonl"))), ("label", "b", repr(readers.label_of("other.jsonl")))]
+    rows += [("device", x, repr(readers.runtime_overrides({"device_map": x})["device_map"])) for x in ("CUDA:0 ", "cpu", "auto")]
     return spark.createDataFrame(rows, "place string, name string, value string")
 
 

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import contracts as K
 from ..functions.text import is_blank, ordinal_id, strip
 from ..operators.curate import numbered
 
@@ -152,6 +153,13 @@ def variant_spec(spec: str, root: str = ".") -> dict:
     return {"name": m[1].strip(), "config": at(m[2].strip()), "eval_data": at(m[3] and m[3].strip())}
 
 
+def runtime_overrides(config: dict) -> dict:
+    """A flat configuration whose device_map names one device, as the map that a model's loader takes for it; others stay as they are."""
+    name = config.get("device_map")
+    name = name.strip().lower() if isinstance(name, str) else None
+    return {**config, "device_map": {"": K.DEVICES[name]}} if name in K.DEVICES else dict(config)
+
+
 def label_of(path: str) -> str:
     """A result file's label: its name without _results.jsonl, or without its suffix."""
     name = path.rstrip("/").rpartition("/")[2]
