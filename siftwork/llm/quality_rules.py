@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import quoted, saved
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,11 +47,10 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     t = t.select(
         "id", "h", F.size("h").cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("t") - F.regexp_count("t", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("ls").cast("long").alias("n_lines"), (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
-        (F.length("t") - F.length(F.translate("t", _UPPER, ""))).cast("long").alias("n_capitals"),
-        (F.length("t") - F.length(F.translate("t", "!", ""))).cast("long").alias("n_exclamations"),
+        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"), F.regexp_count("t", F.lit("!")).cast("long").alias("n_exclamations"),
         F.expr("shiftleft(1L, cast(ceil(log2(size(h) + 1)) as int)) - 1").alias("low"),
     )
     stats = ["id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
