@@ -27,10 +27,11 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """The matrix of a's links to b, decided in double precision: single precision only settles what lies further from least than its error."""
     slack = a.shape[1] * 1.3e-7 + 1e-6
     s = a.astype(np.float32) @ b.astype(np.float32).T
-    m = s >= least + slack
-    i, j = np.nonzero(np.abs(s - np.float32(least)) <= slack)
-    for k in range(0, len(i), 65536):
-        x, y = i[k : k + 65536], j[k : k + 65536]
+    m = s >= least - slack  # all that may be linked: in most places nothing is
+    at = np.flatnonzero(m)
+    at = at[s.ravel()[at] < least + slack]
+    for k in range(0, len(at), 65536):
+        x, y = np.divmod(at[k : k + 65536], len(b))
         m[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= least
     return m
 
@@ -113,7 +114,9 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     own = saved(rows.where("key is not null").groupBy("key").agg(F.min("raw").alias("raw"), F.count("*").alias("n"), F.min("id").alias("least_id")), "vectors")
 
     def as_units(raws: list[bytes]) -> np.ndarray:
-        return np.stack([np.frombuffer(unit_vector(np.frombuffer(x, item))) for x in raws])
+        x = np.frombuffer(b"".join(raws), item).reshape(len(raws), -1).astype(np.float64)
+        x /= np.abs(x).max(1)[:, None]
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
     total = own.count()
     wanted = int(min(max_pivots, max(1, -(-total // cell))))
@@ -139,44 +142,47 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     def homes(batches):
         for batch in batches:
-            for d, _, s, p in dots(batch.column("raw").to_pylist()):
-                home, top = s.argmax(1), s.max(1)
-                n, low = np.bincount(home, minlength=len(p)), np.full(len(p), np.inf)
-                np.minimum.at(low, home, top)
-                q = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int32)), pa.array(q.astype(np.int32)), pa.array(n[q].astype(np.int64)), pa.array(low[q])], ["dim", "home", "n", "dot"])
+            raws = batch.column("raw").to_pylist()
+            dim, home, dot = np.zeros(len(raws), np.int32), np.zeros(len(raws), np.int32), np.zeros(len(raws))
+            for d, at, s, _ in dots(raws):
+                dim[at], home[at], dot[at] = d, s.argmax(1), s.max(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dim), pa.array(home), pa.array(dot)], ["key", "raw", "n", "dim", "home", "dot"])
 
-    cells = {(r["dim"], r["home"]): (r["n"], r["dot"]) for r in own.select("raw").mapInArrow(homes, "dim int, home int, n long, dot double").groupBy("dim", "home").agg(F.sum("n").alias("n"), F.min("dot").alias("dot")).collect()}
+    # homes are written: products can differ in their last bit from one batch to another, and a vector has one home
+    homed = saved(own.select("key", "raw", "n").mapInArrow(homes, "key binary, raw binary, n long, dim int, home int, dot double"), "homes")
+    cells = {(r["dim"], r["home"]): (r["n"], r["dot"]) for r in homed.groupBy("dim", "home").agg(F.count("*").alias("n"), F.min("dot").alias("dot")).collect()}
 
-    def guests(d: int, s: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def guests(d: int, s: np.ndarray, p: np.ndarray, home: np.ndarray) -> np.ndarray:
         """Which cells below its own each row must visit."""
-        home, reach = s.argmax(1), chord(least, d, 1)
+        reach = chord(least, d, 1)
         radius = np.array([chord(cells[d, q][1], d, 1) if (d, q) in cells else -9.0 for q in range(len(p))])
-        near = s.max(1)[:, None] - s <= (reach * chord(p @ p.T, d, 1))[home] + (4 * d + 16) * 2.3e-16  # the bisector
+        near = s[np.arange(len(s)), home][:, None] - s <= (reach * chord(p @ p.T, d, 1))[home] + (4 * d + 16) * 2.3e-16  # the bisector
         near &= chord(s, d, -1) <= radius[None, :] + reach  # the cell's ball
         return near & (np.arange(len(p))[None, :] < home[:, None])
 
     def visits(batches):
         for batch in batches:
-            for d, _, s, p in dots(batch.column("raw").to_pylist()):
-                n = guests(d, s, p).sum(0)
+            home = batch.column("home").to_numpy()
+            for d, at, s, p in dots(batch.column("raw").to_pylist()):
+                n = guests(d, s, p, home[at]).sum(0)
                 q = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int32)), pa.array(q.astype(np.int32)), pa.array(n[q].astype(np.int64))], ["dim", "cell", "n"])
 
-    visitors = {(r["dim"], r["cell"]): r["n"] for r in own.select("raw").mapInArrow(visits, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()}
+    visitors = {(r["dim"], r["cell"]): r["n"] for r in homed.select("raw", "home").mapInArrow(visits, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()}
     blocks = {c: -(-n // block) for c, (n, _) in cells.items()}
     guest_blocks = {c: -(-n // block) for c, n in visitors.items()}
 
     def dealt(batches):
         """A row for each tile that a vector takes part in: side 0 is the tile's left, 1 its right; in a tile of equal sides there is one row."""
         for batch in batches:
+            home = batch.column("home").to_numpy()
             z = np.array([int.from_bytes(k[:7], "little") for k in batch.column("key").to_pylist()], np.int64)
             for d, at, s, p in dots(batch.column("raw").to_pylist()):
                 nb, gb = (np.array([b.get((d, q), 0) for q in range(len(p))], np.int64) for b in (blocks, guest_blocks))
-                i, q = np.nonzero(guests(d, s, p))
+                i, q = np.nonzero(guests(d, s, p, home[at]))
                 # each vector at home, then its visits; a row of copies has a number t in each
                 who = np.concatenate([np.arange(len(at)), i])
-                where = np.concatenate([s.argmax(1), q])
+                where = np.concatenate([home[at], q])
                 guest = np.arange(len(who)) >= len(at)
                 copies = np.where(guest, nb[where], nb[where] + gb[where])
                 ends = np.cumsum(copies)
@@ -201,7 +207,7 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         links, lab = join_block(vectors[at[0]], vectors[at[1]], *at, pdf["n"].to_numpy(np.int64), least, same)
         return pd.DataFrame({"key": pdf["key"], "links": links, "root": pdf["key"].to_numpy()[lab]})[links > 0]
 
-    tiles = own.select("key", "raw", "n").mapInArrow(dealt, "dim int, cell int, i int, k int, side int, key binary, raw binary, n long")
+    tiles = homed.select("key", "raw", "n", "home").mapInArrow(dealt, "dim int, cell int, i int, k int, side int, key binary, raw binary, n long")
     found = saved(tiles.groupBy("dim", "cell", "i", "k").applyInPandas(join_tile, "key binary, links long, root binary"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "key", "root")
